@@ -6,14 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavecrest.llm import minhash
+from wavecrest.llm import line_quality, minhash, mixing, token_planes, warc
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_quality(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicated(table(spark, sf_dir, "pages"))
+
+
+def op6_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_frequency_quality": op2_line_frequency_quality,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op6_bit_plane_files": op6_bit_plane_files,
+    "op7_flow_mixing": op7_flow_mixing,
     "op10_minmax_near_dedup": op10_minmax_near_dedup,
 }
 
