@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavecrest.llm import line_quality, minhash, mixing, token_planes, warc
+from wavecrest.llm import embeddings, line_quality, minhash, mixing, token_planes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_kmeans_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
@@ -36,15 +40,22 @@ def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_text_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kmeans_near_vectors": op1_kmeans_near_vectors,
     "op2_line_frequency_quality": op2_line_frequency_quality,
     "op3_warc_revisits": op3_warc_revisits,
     "op6_bit_plane_files": op6_bit_plane_files,
     "op7_flow_mixing": op7_flow_mixing,
+    "op9_text_cnn_toxicity": op9_text_cnn_toxicity,
     "op10_minmax_near_dedup": op10_minmax_near_dedup,
 }
 
