@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavecrest.llm import embeddings, line_quality, minhash, mixing, token_planes, toxicity, warc
+from wavecrest.llm import embeddings, line_dedup, line_quality, minhash, mixing, token_planes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_line_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_text_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_revisits": op3_warc_revisits,
     "op6_bit_plane_files": op6_bit_plane_files,
     "op7_flow_mixing": op7_flow_mixing,
+    "op8_line_set_similarity": op8_line_set_similarity,
     "op9_text_cnn_toxicity": op9_text_cnn_toxicity,
     "op10_minmax_near_dedup": op10_minmax_near_dedup,
 }
