@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavecrest.llm import embeddings, line_dedup, line_quality, minhash, mixing, token_planes, toxicity, warc
+from wavecrest.llm import embeddings, language, line_dedup, line_quality, minhash, mixing, token_planes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(table(spark, sf_dir, "pages"))
 
 
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.label(docs, language.fit(docs))
+
+
 def op6_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kmeans_near_vectors": op1_kmeans_near_vectors,
     "op2_line_frequency_quality": op2_line_frequency_quality,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_crf_language": op4_crf_language,
     "op6_bit_plane_files": op6_bit_plane_files,
     "op7_flow_mixing": op7_flow_mixing,
     "op8_line_set_similarity": op8_line_set_similarity,
