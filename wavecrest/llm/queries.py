@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavecrest.llm import embeddings, language, line_dedup, line_quality, minhash, mixing, token_planes, toxicity, warc
+from wavecrest.llm import embeddings, language, line_dedup, line_quality, minhash, mixing, pieces, token_planes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label(docs, language.fit(docs))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_frequency_quality": op2_line_frequency_quality,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_crf_language": op4_crf_language,
+    "op5_sampled_pieces": op5_sampled_pieces,
     "op6_bit_plane_files": op6_bit_plane_files,
     "op7_flow_mixing": op7_flow_mixing,
     "op8_line_set_similarity": op8_line_set_similarity,
