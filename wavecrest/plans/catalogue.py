@@ -1,4 +1,7 @@
 """All queries over signals and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from wavecrest.plans import levels, search, sequence, spectrum, stereo
+
+MODULES = (levels, stereo, spectrum, sequence, search)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
