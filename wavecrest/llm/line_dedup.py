@@ -2,8 +2,8 @@
 
 A line is the set of its tokens, ordered by rarity. Two sets of sizes n and m with Jaccard similarity t or more share a token
 among the first n - ceil(t n) + 1 of the one and m - ceil(t m) + 1 of the other (prefix filter), have t n <= m <= n / t (length
-filter), and have enough tokens left behind the shared one (positional filter). A 64-bit map of each set adds a sound bound: every bit in
-which two maps differ is a token that only one of them has. What passes is confirmed on the whole sets.
+filter), and have enough tokens left behind the shared one (positional filter). A map of 128 bits of each set adds a sound bound: every bit in
+which two maps differ stands for a token that only one of them has. What passes is confirmed on the whole sets.
 
 Scale: equal sets are folded into their first line before anything is joined, with a partial aggregate. Rarity is read from a table of
 65,536 summed counts, of fixed size whatever the text, so no join back to all tokens is needed; any order gives exact results, and a good
@@ -19,11 +19,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrest.llm.shared import cut
+from wavecrest.llm.shared import column_name, cut
 
 BLANKS = " \t\x0b\x0c\r"
 BUCKETS = 1 << 16
-LOW_56 = (1 << 56) - 1
+LOW_53 = (1 << 53) - 1
 
 
 def tokens(line: Column) -> Column:
@@ -33,24 +33,33 @@ def tokens(line: Column) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> bytes:
-    """One byte, 1 to 127, for each bucket of token hashes: four steps for each doubling of its count of tokens in ``text``."""
+    """One byte, 1 to 31, for each bucket of token hashes: the power of two of its count of tokens in ``text``. Counts up to twice the
+    median are all 1, since there a bucket's count says nothing of the one token."""
     words = docs.select(F.explode(F.split(F.lower("text"), r"[ \t\x0B\f\r\n]+")).alias("t"))
-    counts = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
+    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
+    at, n = counts.column("b").to_pylist(), counts.column("n").to_pylist()
+    noise = 2 * sorted(n)[len(n) // 2] if n else 0
     table = bytearray(b"\x01" * BUCKETS)
-    for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
-        table[b] = min(127, 1 + int(4 * math.log2(n)))
+    for b, k in zip(at, n, strict=True):
+        table[b] = min(31, 1 + k.bit_length()) if k > noise else 1
     return bytes(table)
 
 
 def token_set(line: Column, table: bytes) -> Column:
-    """The distinct tokens of a line as numbers, rarest first: 7 bits of rarity over 56 bits of hash."""
+    """The distinct tokens of a line as numbers, rarest first: 5 bits of rarity, 5 bits of length (of equally rare tokens the
+    longer first), 53 bits of hash."""
 
-    def ranked(h: Column) -> Column:
-        place = F.pmod(h, F.lit(BUCKETS)).cast("int") + 1
+    def numbered(t: Column) -> Column:
+        h = F.xxhash64(t)
+        length = F.lit(31) - F.least(F.octet_length(t), F.lit(31))
+        return F.shiftleft(length.cast("bigint"), 53).bitwiseOR(h.bitwiseAND(F.lit(LOW_53)))
+
+    def ranked(x: Column) -> Column:
+        place = x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
         rank = F.ascii(F.substring(F.lit(table), place, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW_56)))
+        return F.shiftleft(rank.cast("bigint"), 58).bitwiseOR(x)
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(tokens(line), lambda t: F.xxhash64(t))), ranked))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(tokens(line), numbered)), ranked))
 
 
 def needed(n: Column, m: Column, t: float) -> Column:
@@ -58,18 +67,22 @@ def needed(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * t / (1 + t) - 1e-9)
 
 
-def may_match(n: Column, p: Column, x: Column, m: Column, q: Column, y: Column, t: float) -> Column:
-    """Length, positional and bitmap filters for sets of n and m that share their p-th and q-th token (from 0), with maps x and y."""
+def may_match(a: str, b: str, t: float) -> Column:
+    """Length, positional and bitmap filters for the sets whose columns begin with a and b: np holds the size and, in its 31 low bits,
+    the place of the shared token."""
+    n, m = (F.shiftright(f"{x}np", 31) for x in (a, b))
+    p, q = (F.col(f"{x}np").bitwiseAND(F.lit((1 << 31) - 1)) for x in (a, b))
     least = needed(n, m, t)
-    behind = F.least(n - p, m - q)
-    return (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (behind >= least) & (F.bit_count(x.bitwiseXOR(y)) <= n + m - 2 * least)
+    differ = F.bit_count(F.col(f"{a}map1").bitwiseXOR(F.col(f"{b}map1"))) + F.bit_count(F.col(f"{a}map2").bitwiseXOR(F.col(f"{b}map2")))
+    return (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (F.least(n - p, m - q) >= least) & (differ <= n + m - 2 * least)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, table: bytes) -> DataFrame:
     """doc, line and set of the lines named in wanted (doc, line)."""
     listed = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    rows = docs.join(listed, "doc").select("doc", F.explode("lines").alias("line"), F.split("text", "\n").alias("all"))
-    return rows.where(F.size("all") > F.col("line")).select("doc", "line", token_set(F.get("all", F.col("line")), table).alias("set"))
+    rows = docs.join(listed, "doc").select("doc", "lines", F.split("text", "\n").alias("all"))
+    rows = rows.select("doc", F.inline(F.transform("lines", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("one")))))
+    return rows.where("one is not null").select("doc", "line", token_set(F.col("one"), table).alias("set"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, table: bytes, t: float) -> DataFrame:
@@ -82,17 +95,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, table: bytes, t: float) -> Data
     return x.where(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("doc", "line").distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Returns id_col, n_lines, and removed (array of int, ascending): the numbers, from 0, of the lines that an earlier line matches.
-
-    Lines are what lies between line feeds. A line's set is its distinct lower-cased tokens between ASCII white space; two lines match if the
-    Jaccard similarity of their sets is at least ``threshold``. Lines are in order of id, then number. A line is removed if any earlier line
-    matches it, whether that one is removed itself or not; so of a chain of matches only its first line stays. Blank lines match nothing.
-
-    One row per row of docs. Null texts have 0 lines. Rows with a null id keep all lines and remove none. Rows that repeat an id count as one
-    document: where one of them keeps a line number, all do. An empty table gives an empty result. Other columns are ignored."""
+def standing_lines(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc and kept (the numbers of its lines that no earlier line matches, blank ones aside) of docs (doc, text); documents without such
+    lines have no row."""
     t = threshold
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     known = docs.where("doc is not null and text is not null")
     table = rarity_table(known)
 
@@ -100,38 +106,77 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.select("doc", "line", token_set(F.col("one"), table).alias("s")).where(F.size("s") > 0)
     n = F.size("s")
     prefix = F.slice("s", 1, (n - F.ceil(n * t - 1e-9) + 1).cast("int"))
-    bits = F.reduce("s", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    keyed = lines.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.struct("doc", "line", n.alias("n"), bits.alias("bits"), prefix.alias("prefix")).alias("r"))
-    sets = keyed.groupBy("k1", "k2").agg(F.min("r").alias("r")).select("r.*")
-    sets = cut(sets)
+    one = F.lit(1).cast("bigint")
 
-    posts = sets.select(F.posexplode("prefix").alias("pos", "tok"), "doc", "line", "n", "bits")
-    w = Window.partitionBy("tok").orderBy("doc", "line")
-    top = F.first(F.struct("doc", "line", "n", "pos", "bits")).over(w)
-    posts = posts.select("*", top.alias("f"), F.lead("n").over(w).alias("after"))
-    is_top = (F.col("f.doc") == F.col("doc")) & (F.col("f.line") == F.col("line"))
-    posts = cut(posts.where(~is_top | F.col("after").isNotNull()).drop("after"))
+    def bit_map(half: int) -> Column:
+        mine = F.filter("s", lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
+        return F.reduce(mine, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    first = F.struct("doc", "line", n.cast("bigint").alias("n"), bit_map(0).alias("map1"), bit_map(1).alias("map2"), prefix.alias("prefix"))
+    keyed = lines.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), first.alias("r"))
+    sets = cut(keyed.groupBy("k1", "k2").agg(F.min("r").alias("r")).select("r.*"))
 
     c = F.col
-    near_top = may_match(c("n"), c("pos"), c("bits"), c("f.n"), c("f.pos"), c("f.bits"), t)
-    stars = cut(posts.where(~is_top & near_top).select(c("f.doc").alias("fdoc"), c("f.line").alias("fline"), "doc", "line").distinct())
+    posts = sets.select(F.posexplode("prefix").alias("pos", "tok"), "doc", "line", "n", "map1", "map2")
+    posts = posts.select("tok", "doc", "line", F.shiftleft("n", 31).bitwiseOR(c("pos").cast("bigint")).alias("np"), "map1", "map2")
+    w = Window.partitionBy("tok").orderBy("doc", "line")
+    names = ["doc", "line", "np", "map1", "map2"]
+    top = F.first(F.struct(*names)).over(w)
+    posts = posts.select("*", top.alias("f"), F.lead("np").over(w).alias("after"))
+    posts = posts.select("tok", *names, *(c(f"f.{x}").alias(f"f{x}") for x in names), "after")
+    is_top = (c("fdoc") == c("doc")) & (c("fline") == c("line"))
+    posts = posts.where(~is_top | c("after").isNotNull()).withColumns({"is_top": is_top, "near_top": ~is_top & may_match("", "f", t)})
+    posts = cut(posts.select("tok", *names, "is_top", "near_top", *(F.when(c("near_top"), c(x)).alias(x) for x in ("fdoc", "fline"))))
+
+    stars = cut(posts.where("near_top").select("fdoc", "fline", "doc", "line").distinct())
     matched = cut(confirmed(stars, known, table, t))
 
     # lines that are not matched yet, against all earlier ones but those tried
-    late = posts.where(~is_top).join(matched, ["doc", "line"], "left_anti").select("tok", "doc", "line", "n", "pos", "bits")
-    early = posts.select("tok", c("doc").alias("fdoc"), c("line").alias("fline"), c("n").alias("fn"), c("pos").alias("fpos"), c("bits").alias("fbits"))
+    late = posts.where("not is_top").join(matched, ["doc", "line"], "left_anti").select(c("tok").alias("t2"), *names)
+    early = posts.select("tok", *(c(x).alias(f"f{x}") for x in names))
     before = (c("fdoc") < c("doc")) | ((c("fdoc") == c("doc")) & (c("fline") < c("line")))
-    near = may_match(c("n"), c("pos"), c("bits"), c("fn"), c("fpos"), c("fbits"), t)
-    late = late.withColumnRenamed("tok", "t2")
-    pairs = late.join(early, (c("t2") == c("tok")) & before & near).select("fdoc", "fline", "doc", "line").distinct()
+    pairs = late.join(early, (c("t2") == c("tok")) & before & may_match("", "f", t)).select("fdoc", "fline", "doc", "line").distinct()
     pairs = cut(pairs.join(stars, ["fdoc", "fline", "doc", "line"], "left_anti"))
     also = cut(confirmed(pairs, known, table, t))
 
-    kept = sets.select("doc", "line").join(matched.unionAll(also), ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_set("line").alias("kept"))
-    shapes = docs.select("doc", F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("full"))
-    out = shapes.join(kept.withColumnRenamed("doc", "k"), c("doc") == c("k"), "left")
-    gone = F.filter(F.sequence(F.lit(0), F.size("full") - 1), lambda i: F.get("full", i) & ~F.array_contains("kept", i))
-    every = F.filter(F.sequence(F.lit(0), F.size("full") - 1), lambda i: F.get("full", i))
+    lost = matched.unionAll(also)
+    return sets.select("doc", "line").join(lost, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_set("line").alias("kept"))
+
+
+def numbers(lines: Column, full: bool) -> Column:
+    """The numbers of the lines that hold a token, or of those that don't."""
+    blank = lambda i: F.btrim(F.get(lines, i), F.lit(BLANKS)) == ""
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~blank(i) if full else blank(i))
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """Returns id_col, n_lines, and removed (array of int, ascending): the numbers, from 0, of the lines that an earlier line matches.
+
+    Lines are what lies between line feeds. A line's set is its distinct lower-cased tokens between ASCII white space; two lines match if the
+    Jaccard similarity of their sets is at least ``threshold``. Lines are in order of id, then number. A line is removed if any earlier line
+    matches it, whether that one is removed itself or not; so of a chain of matches only its first line stays. Blank lines match nothing.
+
+    One row per row of docs. Null texts have 0 lines. Rows with a null id keep all lines and remove none. Rows that repeat an id count as one
+    document: where one of them keeps a line number, all do. An empty table gives an empty result. Other columns are ignored."""
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    kept = standing_lines(docs, threshold).withColumnRenamed("doc", "k")
+    shapes = docs.select("doc", F.split("text", "\n").alias("lines")).select("doc", F.size("lines").alias("n"), numbers(F.col("lines"), True).alias("full"))
+    out = shapes.join(kept, F.col("doc") == F.col("k"), "left")
     none = F.array().cast("array<int>")
-    removed = F.when(c("full").isNull() | c("doc").isNull(), none).when(c("kept").isNull(), every).otherwise(gone)
-    return out.select(c("doc").alias(id_col), F.coalesce(F.size("full"), F.lit(0)).alias("n_lines"), removed.alias("removed"))
+    removed = F.when(F.col("full").isNull() | F.col("doc").isNull(), none).otherwise(F.array_except("full", F.coalesce("kept", none)))
+    return out.select(F.col("doc").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_lines"), removed.alias("removed"))
+
+
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """docs with the lines of ``removed_lines`` taken out of its texts, without the documents that have lost all their lines that
+    aren't blank. Documents that had none, null texts and rows with a null id stay as they are; so do all other columns."""
+    known = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    key, kept, lines = (column_name(docs, x) for x in ("__key", "__kept", "__lines"))
+    standing = standing_lines(known, threshold).withColumnsRenamed({"doc": key, "kept": kept})
+    out = docs.join(standing, F.col(id_col).cast("bigint") == F.col(key), "left").withColumn(lines, F.split(text_col, "\n"))
+    whole = F.col(text_col).isNull() | F.col(id_col).isNull()
+    has_lines = F.btrim(F.col(text_col), F.lit(BLANKS + "\n")) != ""
+    out = out.where(whole | ~has_lines | F.col(kept).isNotNull())
+    stay = F.array_sort(F.array_union(numbers(F.col(lines), False), F.col(kept)))
+    text = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
+    return out.withColumn(text_col, F.when(whole | ~has_lines, F.col(text_col)).otherwise(text)).select(*docs.columns)

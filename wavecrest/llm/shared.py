@@ -27,9 +27,11 @@ def folder(spark: SparkSession) -> str:
 
 def cut(frame: DataFrame) -> DataFrame:
     """The rows of frame, written to the shared folder and read from there: later jobs, and tasks that run anew after an
-    executor is lost, start from these files."""
+    executor is lost, start from these files. The driver's JVM is then asked to collect its garbage: Spark removes the shuffle files
+    of finished jobs only when their plans are collected, and until then they fill the executors' disks."""
     path = folder(frame.sparkSession)
     frame.write.parquet(path)
+    frame.sparkSession.sparkContext._jvm.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
