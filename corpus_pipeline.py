@@ -1,8 +1,67 @@
-"""From raw documents to sampled pieces, in stages that are each written and read again."""
+"""From raw documents to sampled pieces, in stages that are each written and read again.
 
-STAGES: list = []
+Toxic documents go; of alike lines only the first stays; of each group of near copies one document stays; sources are mixed to their
+weights, whole documents as often as the mix takes them; texts are cut into sampled pieces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavecrest.llm import line_dedup, minhash, mixing, pieces, toxicity
+from wavecrest.llm.queries import table, tokenizer_path
+from wavecrest.llm.shared import column_name, cut
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold of their guessed language."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=docs.columns).where("__score < 0.5").drop("__score")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line matches; documents that lose every line go. n_chars follows the text."""
+    cleaned = line_dedup.clean_documents(docs)
+    return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents but those that are linked to one of a smaller id. Rows with a null id stay."""
+    key = column_name(docs, "__gone")
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it. Rows that repeat an id are taken alike."""
+    key, copies = column_name(docs, "__mixed"), column_name(docs, "__copies")
+    mixed = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(key)))
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_pieces, ids and text_crc32 of each document."""
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), keep=["lang", "source"])
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_to_weights),
+    ("sampled pieces", to_pieces),
+]
+
+#: A trained classifier and hashed draws have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs
