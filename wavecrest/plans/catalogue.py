@@ -1,7 +1,7 @@
 """All queries over signals and their SQL."""
 
-from wavecrest.plans import levels, search, sequence, spectrum, stereo
+from wavecrest.plans import levels, search, sequence, spectrum, stereo, streams
 
-MODULES = (levels, stereo, spectrum, sequence, search)
+MODULES = (levels, stereo, spectrum, sequence, search, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
