@@ -79,7 +79,7 @@ class Pieces:
 
 
 class Sampler:
-    def __init__(self, pieces: Pieces, seed: int = 0, max_edges: int = 8_000_000):
+    def __init__(self, pieces: Pieces, seed: int = 0, max_edges: int = 3_000_000):
         self.pieces, self.seed, self.max_edges = pieces, seed, max_edges
         self._clear()
 
