@@ -88,7 +88,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert (found.held_out == [fold(i, 5) == 0 for i in found.doc_id]).all() and found.score.between(0, 1).all()
     held = found[found.held_out]
     # some 30 toxic texts to learn from: few are found yet, but clean ones are left alone
-    assert ((held.toxic == 1) == (held.predicted == 1)).mean() > 0.9 and (held[held.toxic == 0].predicted == 1).mean() < 0.03
+    assert ((held.toxic == 1) == (held.predicted == 1)).mean() > 0.9 and (held[held.toxic == 0].predicted == 1).mean() < 0.05
     edge = toxicity.score(cases.frame(spark, cases.documents()), model).collect()
     assert len(edge) == len(cases.documents()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in edge)
     assert toxicity.score(cases.empty(spark), model).count() == 0
