@@ -43,24 +43,25 @@ def column_name(frame: DataFrame, stem: str) -> str:
     return stem
 
 
-def open_output(uri: str):
-    """A binary stream to a file of any file system that pyarrow knows."""
+def file_system(uri: str):
+    """A file system that pyarrow knows, and the path in it; Hadoop's name for S3 is s3a."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
+
+
+def open_output(uri: str):
+    """A binary stream to a new file."""
+    system, path = file_system(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     return system.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = file_system(uri)
     return system.open_input_file(path)
 
 
 def move(source: str, target: str) -> None:
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(source)
-    system.move(path, fs.FileSystem.from_uri(target)[1])
+    system, path = file_system(source)
+    system.move(path, file_system(target)[1])
