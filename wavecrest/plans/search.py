@@ -144,11 +144,11 @@ def rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mann-Whitney's U between the values of each type of event and the first type, ties at their mean rank. Values are counted
     by type first; ranks are running sums over distinct values within a pair of types."""
     e = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    base = e.groupBy().agg(F.min("event_type").alias("base"))
-    e = e.join(F.broadcast(base))
-    others = e.where("event_type <> base").select(F.col("event_type").alias("kind"), "value", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    kinds = others.select("kind").distinct()
-    mine = e.where("event_type = base").select("value", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b")).join(F.broadcast(kinds)).select("kind", "value", "a", "b")
+    kinds = sorted(r[0] for r in e.select("event_type").where("event_type is not null").distinct().collect())  # a handful of types
+    base, rest = kinds[0] if kinds else "", kinds[1:]
+    others = e.where(F.col("event_type") != base).select(F.col("event_type").alias("kind"), "value", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    each = F.explode(F.array(*map(F.lit, rest)).cast("array<string>")).alias("kind")
+    mine = e.where(F.col("event_type") == base).select(each, "value", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
     v = others.unionAll(mine).groupBy("kind", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     below = F.sum("b").over(Window.partitionBy("kind").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
     v = v.withColumn("u", F.col("a") * (F.coalesce(below, F.lit(0)) + F.col("b") / 2))

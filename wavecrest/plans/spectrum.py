@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecrest.functions import signal as S
@@ -183,8 +183,8 @@ def band_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
         band = F.when((F.col("i") >= a) & (F.col("i") < b), F.lit(k).cast("bigint")).otherwise(band)
     n = S.quantise(F.col("x"), 8) / 127 - F.col("x")
     g = s.select(band.alias("band"), (F.col("x") * F.col("x")).alias("a"), (n * n).alias("b")).where("band is not null").groupBy("band").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    whole = g.agg(F.sum("b").alias("noise"))
-    return g.join(F.broadcast(whole)).select("band", F.round(S.ratio_db(F.col("a"), F.col("b")), 4).alias("snr_db"), F.round(100 * F.col("b") / (F.col("noise") + 1e-30), 4).alias("noise_pct"))
+    g = g.withColumn("noise", F.sum("b").over(Window.partitionBy(F.lit(0))))  # five rows
+    return g.select("band", F.round(S.ratio_db(F.col("a"), F.col("b")), 4).alias("snr_db"), F.round(100 * F.col("b") / (F.col("noise") + 1e-30), 4).alias("noise_pct"))
 
 
 ORACLES["band_snr"] = f"""WITH {FRAMES_SQL}, b AS (SELECT * FROM (VALUES (0, 0, 4), (1, 4, 10), (2, 10, 20), (3, 20, 36), (4, 36, 64)) t(band, lo, hi)),
