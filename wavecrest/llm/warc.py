@@ -181,7 +181,7 @@ def write_archives(
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{target}/manifest")
 
 
-READ = "page_id bigint, uri string, record_type string, record_id string, refers_to_id string, payload_digest string, payload binary"
+READ = "page_id bigint, uri string, record_type string, record_id string, refers_to_id string, payload_digest string, payload_bytes bigint, payload binary"
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -214,7 +214,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
-    return files.mapInArrow(read, READ.replace("payload binary", "payload_bytes bigint, payload binary"))
+    return files.mapInArrow(read, READ)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
