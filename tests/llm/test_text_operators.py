@@ -78,6 +78,39 @@ def test_line_quality(spark):
     assert line_quality.line_quality(cases.empty(spark)).count() == 0
 
 
+def brute_frequent(rows, least):
+    """Hosts and normalised lines that more than ``least`` distinct ids hold."""
+    held = defaultdict(set)
+    for i, t, _, host, *_ in rows:
+        for line in (t or "").split("\n"):
+            held[host, normal(line)].add(i)
+    return {k for k, ids in held.items() if k[1] and len(ids) > least}
+
+
+def normal(line):
+    return re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", "", re.sub("[0-9]", "0", line.translate(LOWER))) if WORD.search(line) else ""
+
+
+def test_frequent_lines_are_removed_from_texts(spark):
+    rows = DOCS + [(1000 + k, f"Shared Line, no {k:02d} of all\n\n" + cases.prose(500 + k, 30) + "\n--\nshared line (no 00) of ALL!" * (k % 3), "en", ["host", None][k % 2], 1) for k in range(30)]
+    rows += [(2000 + k, "\n".join(f"boiler plate line of words number {j}" for j in range(6)) + f"\nonly {k}\n", "en", "host", 1) for k in range(20)]
+    rows += [(1000, "boiler plate line of words number 1\nanother text of a repeated id", "en", "host", 1), (None, "shared line no 77 of all\nnull id", "en", "host", 1)]
+    rows += [(3000, "shared line no 77 of all\nother host", "en", "s1", 1)]
+    frequent = brute_frequent(rows, 10)
+    want = []
+    for i, t, _, host, *_ in rows:
+        lines = (t or "").split("\n")
+        gone = [k for k, x in enumerate(lines) if (host, normal(x)) in frequent]
+        text = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        want.append((i, gone, text, len({normal(lines[k]) for k in gone}), sum(len(WORD.findall(lines[k])) for k in gone)))
+    out = line_quality.clean_texts(cases.frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, list(r.removed), r.text, r.lost_lines, r.lost_words) for r in out), key=repr) == sorted(want, key=repr)
+    assert sum(len(w[1]) for w in want) > 150
+    sums = line_quality.line_quality(cases.frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text_crc32) for r in sums), key=repr) == sorted(((w[0], None if w[2] is None else zlib.crc32(w[2].encode())) for w in want), key=repr)
+    assert line_quality.clean_texts(cases.empty(spark)).count() == 0
+
+
 def brute_lines(rows, t=0.8):
     lines = [(i, k, frozenset(x for x in re.split("[ \t\x0b\x0c\r]+", line.lower()) if x)) for i, text in rows for k, line in enumerate(text.split("\n"))]
     lines = sorted((x for x in lines if x[2]), key=lambda x: x[:2])

@@ -1,11 +1,12 @@
 """Quality rules with cross-document line frequency.
 
 Normalised lines are hashed, the distinct documents of each host (source) that hold a line are counted, lines above the
-host's limit are taken out, and documents that are depleted by this are rejected.
+host's limit are taken out of the texts, and documents that are depleted by this are rejected.
 
 Scale: one row per distinct line of a document is shuffled, as (host, hash, document); counts are partially aggregated, and
 so a line that a third of all documents share is summed before the shuffle. Frequent lines are few (a line must be in a fixed
 share of its host's documents) and are joined back with a plain equi-join, which adaptive execution may split or broadcast by size.
+Each document's frequent hashes are then joined to its text, which is read once more and rebuilt without these lines.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ FOLD[48:58] = 48
 KEPT = np.ones(256, bool)
 KEPT[:48] = KEPT[58:65] = KEPT[91:97] = KEPT[123:128] = False
 
+LINES = "__row bigint, __host string, __tie bigint, h bigint"
 FEATURES = (
-    "__row bigint, __host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "__lines array<struct<h: bigint, w: int>>"
+    "__row bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+    "lost_lines bigint, lost_words bigint, removed array<int>, __clean string"
 )
 
 
@@ -71,7 +73,38 @@ def repeat_words(words: Words, hashes: np.ndarray, size: int) -> np.ndarray:
     return covered[words.first[1:]] - covered[words.first[:-1]]
 
 
+def folded_lines(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the lines have a normalised form (a line of punctuation alone has none), and the hashes of these forms."""
+    folded = Texts.__new__(Texts)
+    keep = KEPT[texts.data]
+    place = np.concatenate([[0], np.cumsum(keep)])
+    folded.data, folded.offsets, folded.n = FOLD[texts.data[keep]], place[texts.offsets], texts.n
+    a, b = place[starts], place[ends]
+    some = b > a
+    return some, folded.hash_spans(a[some], b[some])
+
+
+def tagged(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes that tell apart the lines of different texts."""
+    return mix(hashes + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def line_hashes(batches):
+    """A row per distinct normalised line of each text."""
+    for batch in batches:
+        for part in chunks(batch, "__text"):
+            texts = Texts(part.column("__text"))
+            starts, ends, text, _ = lines_of(texts, texts.words())
+            some, h = folded_lines(texts, starts, ends)
+            t = text[some]
+            at = np.sort(np.unique(tagged(h, t), return_index=True)[1])
+            of = pa.array(t[at])
+            cols = [part.column(c).take(of) for c in ("__row", "__host", "__tie")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(h[at].view(np.int64))], ["__row", "__host", "__tie", "h"])
+
+
 def features(batches, size: int):
+    """Figures of each text, and the text without its lines whose hashes are in __frequent."""
     for batch in batches:
         for part in chunks(batch, "__text"):
             texts = Texts(part.column("__text"))
@@ -81,35 +114,35 @@ def features(batches, size: int):
             symbols = np.concatenate([[0], np.cumsum(SYMBOLS[texts.data])])
             span = lambda c: c[texts.offsets[1:]] - c[texts.offsets[:-1]]  # noqa: E731, B023
             starts, ends, text, n = lines_of(texts, words)
-            raw = texts.hash_spans(starts, ends)
-            distinct = np.unique(mix(raw + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)[1]
+            distinct = np.unique(tagged(texts.hash_spans(starts, ends), text), return_index=True)[1]
             dup = np.bincount(text, minlength=texts.n) - np.bincount(text[distinct], minlength=texts.n)
-            # normalised lines: fold the bytes, then hash what is kept of each line
-            folded = Texts.__new__(Texts)
-            keep = KEPT[texts.data]
-            place = np.concatenate([[0], np.cumsum(keep)])
-            folded.data, folded.offsets, folded.n = FOLD[texts.data[keep]], place[texts.offsets], texts.n
-            a, b = place[starts], place[ends]
-            some = b > a  # a line of punctuation alone has no normalised form
-            h = folded.hash_spans(a[some], b[some]).view(np.int64)
+            lists = part.column("__frequent")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            gone = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            some, h = folded_lines(texts, starts, ends)
             t, w = text[some], n[some]
-            order = np.lexsort((h, t))
-            t, h, w = t[order], h[order], w[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
-            at = np.flatnonzero(new)
-            w = np.add.reduceat(w, at) if len(at) else w[:0]
-            t, h = t[at], h[at]
-            ends_of = np.searchsorted(t, np.arange(texts.n + 1)).astype(np.int32)
-            lines = pa.ListArray.from_arrays(ends_of, pa.StructArray.from_arrays([pa.array(h), pa.array(w.astype(np.int32))], ["h", "w"]))
-            cols = [words.counts, span(points), span(symbols), dup, repeat_words(words, words.hashes(), size)]
+            marks = tagged(h, t)
+            lost = np.isin(marks, tagged(gone, np.repeat(np.arange(texts.n), sizes)))
+            t, w, marks, first = t[lost], w[lost], marks[lost], starts[some][lost]
+            lost_lines = np.bincount(t[np.unique(marks, return_index=True)[1]], minlength=texts.n)
+            lost_words = np.bincount(t, weights=w, minlength=texts.n)
+            # numbers of the removed lines, counted from 0 at the text's start, and the rest of each text
+            breaks = np.flatnonzero(texts.data == 10)
+            number = np.searchsorted(breaks, first) - np.searchsorted(breaks, texts.offsets[t])
+            bounds = np.searchsorted(t, np.arange(texts.n + 1)).astype(np.int32)
+            clean = part.column("__text").to_pylist()
+            for i in np.flatnonzero(np.diff(bounds)).tolist():
+                out = set(number[bounds[i] : bounds[i + 1]].tolist())
+                clean[i] = "\n".join([x for k, x in enumerate(clean[i].split("\n")) if k not in out])
+            removed = pa.ListArray.from_arrays(bounds, pa.array(number.astype(np.int32)))
+            cols = [words.counts, span(points), span(symbols), dup, repeat_words(words, words.hashes(), size), lost_lines, lost_words]
             yield pa.RecordBatch.from_arrays(
-                [part.column("__row"), part.column("__host").cast(pa.string()), *(pa.array(c.astype(np.int64)) for c in cols), lines],
-                ["__row", "__host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__lines"],
+                [part.column("__row"), *(pa.array(c.astype(np.int64)) for c in cols), removed, pa.array(clean, pa.string())],
+                ["__row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_lines", "lost_words", "removed", "__clean"],
             )
 
 
-def line_quality(
+def clean_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -122,39 +155,51 @@ def line_quality(
     max_repeat_percent: int = 30,
 ) -> DataFrame:
     """Returns a row per document: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    then lost_lines and lost_words (distinct frequent lines of the document, and their words).
-
-    A line is frequent if more than ``min_docs`` distinct documents of its host hold it and more than ``max_share`` of
-    the host's documents. Lines are compared after A-Z are lower-cased, digits made 0, and ASCII punctuation and white
-    space left out; lines without words, and lines of punctuation alone, are never frequent. A document is rejected if it
-    fails the base rules (n_words < min_words or n_repeat_words above max_repeat_percent of n_words), or if frequent lines
-    take more than ``max_lost`` of its words or leave fewer than ``min_words``.
-
-    Null texts count as empty and so fail; a null host is a host of its own. Rows that repeat an id are counted as one
-    document of their host, and each is judged by the lines of all of them together. Other columns are ignored.
+    lost_lines and lost_words (distinct frequent lines of the document, and the words of all that are removed), removed (numbers of the
+    removed lines, from 0, ascending), then text_col without these lines.
+
+    A line is what lies between line feeds. It is frequent if more than ``min_docs`` distinct documents of its host hold it and more than
+    ``max_share`` of the host's documents. Lines are compared after A-Z are lower-cased, digits made 0, and ASCII punctuation and white
+    space left out; lines without words, and lines of punctuation alone, are never frequent. Every occurrence of a frequent line is
+    removed, from rejected documents too. A document is rejected if it fails the base rules (n_words < min_words or n_repeat_words above
+    max_repeat_percent of n_words, before lines are removed), or if frequent lines take more than ``max_lost`` of its words or leave fewer
+    than ``min_words``.
+
+    Null texts count as empty and so fail, and stay null; a null host is a host of its own. Rows that repeat an id are counted as one
+    document of their host, and each loses its own frequent lines; so do rows with a null id, which are all counted as one document.
+    Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("__row"), F.col(text_col).alias("__text"), F.col(host_col).cast("string").alias("__host"))
-    found = rows.mapInArrow(lambda batches: features(batches, window), FEATURES)
+    row, text = F.col(id_col).cast("bigint"), F.col(text_col)
+    # rows with a null id are told apart by their text
+    tie = F.when(row.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint"))
+    rows = docs.select(row.alias("__row"), text.alias("__text"), F.col(host_col).cast("string").alias("__host"), tie.alias("__tie"))
+    lines = rows.mapInArrow(line_hashes, LINES)
 
-    lines = found.select(F.col("__host").alias("host"), F.col("__row").alias("row"), F.explode("__lines").alias("l")).select("host", "row", "l.h", "l.w")
-    counted = lines.groupBy("host", "h", "row").agg(F.max("w").alias("w")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    counted = lines.groupBy("__host", "h", "__row").agg(F.lit(1)).groupBy(F.col("__host").alias("host"), "h").agg(F.count("*").alias("n"))
     hosts = rows.select(F.col("__host").alias("host"), F.col("__row").alias("row")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
     frequent = (
         counted.where(F.col("n") > min_docs)
         .join(hosts, counted["host"].eqNullSafe(hosts["host"]))
         .where(F.col("n") > max_share * F.col("docs"))
-        .select(counted["host"], "h")
+        .select(counted["host"].alias("fhost"), F.col("h").alias("fh"))
     )
-    lost = (
-        lines.join(frequent.withColumnsRenamed({"host": "fhost", "h": "fh"}), F.col("host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh")))
-        .groupBy("row")
-        .agg(F.count("*").alias("lost_lines"), F.sum("w").cast("bigint").alias("lost_words"))
+    held = (
+        lines.join(frequent, F.col("__host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh")))
+        .groupBy(F.col("__row").alias("row"), F.col("__host").alias("host"), F.col("__tie").alias("tie"))
+        .agg(F.collect_set("h").alias("__frequent"))
     )
-    out = found.drop("__lines", "__host").join(lost, F.col("__row") == F.col("row"), "left").na.fill(0, ["lost_lines", "lost_words"])
+    same = F.col("__row").eqNullSafe(F.col("row")) & F.col("__host").eqNullSafe(F.col("host")) & (F.col("__tie") == F.col("tie"))
+    found = rows.join(held, same, "left").select("__row", "__text", "__frequent").mapInArrow(lambda batches: features(batches, window), FEATURES)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("lost_words")
     depleted = (F.col("lost_words") > 0) & ((F.col("lost_words") > max_lost * F.col("n_words")) | (left < min_words))
-    return out.select(
+    return found.select(
         F.col("__row").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~depleted).alias("kept"), "lost_lines", "lost_words",
+        base.alias("base_failed"), (~base & ~depleted).alias("kept"), "lost_lines", "lost_words", "removed", F.col("__clean").alias(text_col),
     )
+
+
+def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """The rows of ``clean_texts`` with text_crc32, the checksum of the text without its frequent lines, in place of that text."""
+    out = clean_texts(docs, id_col, text_col, **rules)
+    return out.select(*(c for c in out.columns if c != text_col), F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"))
