@@ -111,6 +111,17 @@ def test_frequent_lines_are_removed_from_texts(spark):
     assert line_quality.clean_texts(cases.empty(spark)).count() == 0
 
 
+def test_line_limit_is_the_same_for_hosts_of_any_size(spark):
+    passage = "a passage that a dozen documents of this host hold"
+    rows = [(k, (passage if k % 250 == 0 else cases.prose(k, 8)) + "\n" + cases.prose(5000 + k, 30), "en", "hot", 1) for k in range(3000)]
+    rows += [(10000 + k, passage + "\n" + cases.prose(9000 + k, 30), "en", "small", 1) for k in range(11)]
+    rows += [(20000 + k, passage + "\n" + cases.prose(9500 + k, 30), "en", "rare", 1) for k in range(10)]
+    got = {r.doc_id: r for r in line_quality.clean_texts(cases.frame(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        held = t.startswith(passage) and i < 20000
+        assert (0 in got[i].removed) == held and (passage in got[i].text) == (t.startswith(passage) and not held)
+
+
 def brute_lines(rows, t=0.8):
     lines = [(i, k, frozenset(x for x in re.split("[ \t\x0b\x0c\r]+", line.lower()) if x)) for i, text in rows for k, line in enumerate(text.split("\n"))]
     lines = sorted((x for x in lines if x[2]), key=lambda x: x[:2])

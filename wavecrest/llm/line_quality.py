@@ -4,8 +4,8 @@ Normalised lines are hashed, the distinct documents of each host (source) that h
 host's limit are taken out of the texts, and documents that are depleted by this are rejected.
 
 Scale: one row per distinct line of a document is shuffled, as (host, hash, document); counts are partially aggregated, and
-so a line that a third of all documents share is summed before the shuffle. Frequent lines are few (a line must be in a fixed
-share of its host's documents) and are joined back with a plain equi-join, which adaptive execution may split or broadcast by size.
+so a line that a third of all documents share is summed before the shuffle. Frequent lines, of which there are
+less than a tenth of the lines of all documents, are joined back with a plain equi-join, which adaptive execution may split or broadcast by size.
 Each document's frequent hashes are then joined to its text, which is read once more and rebuilt without these lines.
 """
 
@@ -147,8 +147,7 @@ def clean_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    min_docs: int = 10,
-    max_share: float = 0.005,
+    max_docs: int = 10,
     max_lost: float = 0.5,
     min_words: int = 20,
     window: int = 8,
@@ -158,8 +157,8 @@ def clean_texts(
     lost_lines and lost_words (distinct frequent lines of the document, and the words of all that are removed), removed (numbers of the
     removed lines, from 0, ascending), then text_col without these lines.
 
-    A line is what lies between line feeds. It is frequent if more than ``min_docs`` distinct documents of its host hold it and more than
-    ``max_share`` of the host's documents. Lines are compared after A-Z are lower-cased, digits made 0, and ASCII punctuation and white
+    A line is what lies between line feeds. It is frequent if more than ``max_docs`` distinct documents of its host hold it, however many
+    documents the host has. Lines are compared after A-Z are lower-cased, digits made 0, and ASCII punctuation and white
     space left out; lines without words, and lines of punctuation alone, are never frequent. Every occurrence of a frequent line is
     removed, from rejected documents too. A document is rejected if it fails the base rules (n_words < min_words or n_repeat_words above
     max_repeat_percent of n_words, before lines are removed), or if frequent lines take more than ``max_lost`` of its words or leave fewer
@@ -176,13 +175,7 @@ def clean_texts(
     lines = rows.mapInArrow(line_hashes, LINES)
 
     counted = lines.groupBy("__host", "h", "__row").agg(F.lit(1)).groupBy(F.col("__host").alias("host"), "h").agg(F.count("*").alias("n"))
-    hosts = rows.select(F.col("__host").alias("host"), F.col("__row").alias("row")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    frequent = (
-        counted.where(F.col("n") > min_docs)
-        .join(hosts, counted["host"].eqNullSafe(hosts["host"]))
-        .where(F.col("n") > max_share * F.col("docs"))
-        .select(counted["host"].alias("fhost"), F.col("h").alias("fh"))
-    )
+    frequent = counted.where(F.col("n") > max_docs).select(F.col("host").alias("fhost"), F.col("h").alias("fh"))
     held = (
         lines.join(frequent, F.col("__host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh")))
         .groupBy(F.col("__row").alias("row"), F.col("__host").alias("host"), F.col("__tie").alias("tie"))
