@@ -42,3 +42,20 @@ def test_edge_cases_run_through(spark):
             docs = cut(stage(spark, docs, SF))
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert docs.columns == columns
+
+
+def test_near_copies_from_080(spark):
+    words = cases.prose(7, 204).split()
+    four = " ".join(f"new{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(words))
+    five = " ".join(f"new{k}" if k in (20, 60, 100, 140, 180) else w for k, w in enumerate(words))
+    base = " ".join(words)
+    similar = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert 0.80 <= similar(base, four) < 0.85 and similar(base, five) < 0.80
+    rows = [(1, base, "en", "s1", 1), (2, four, "en", "s1", 1), (4, base + " other ending", "en", "s1", 1)]
+    far = cases.prose(8, 100)
+    rows += [(5, far, "en", "s2", 2), (5, far, "en", "s2", 2), (5, far, "en", "s1", 2), (5, cases.prose(9, 100), "en", "s2", 2), (6, None, "en", "s2", 0), (6, None, "en", "s2", 0)]
+    rows += [(7, five.replace("alpha", "x"), "en", "s1", 1), (None, base, "en", "s1", 1), (None, base, "en", "s1", 1)]
+    out = corpus_pipeline.drop_near_copies(spark, cases.frame(spark, rows), SF)
+    got = sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=repr)
+    want = [(1, base, "s1"), (5, far, "s1"), (5, rows[6][1], "s2"), (6, None, "s2"), (7, rows[9][1], "s1"), (None, base, "s1"), (None, base, "s1")]
+    assert got == sorted(want, key=repr)
