@@ -134,18 +134,19 @@ s AS (SELECT *, sum(bytes) OVER (PARTITION BY channel ORDER BY block) - bytes AS
 SELECT channel, p AS part, CAST(least(before * 256 // al, 255) AS BIGINT) AS entry FROM s, range(0, 10) t(p) WHERE (p * n) // 10 = block"""
 
 
-def bessel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The modified Bessel function of order 0 of 8 |x|, from 25 terms of its series, and the Kaiser weight that follows from it."""
+def i0(x: Column) -> Column:
+    """The modified Bessel function of order 0, from 25 terms of its series."""
+    start = F.struct(S.lit(1).alias("term"), S.lit(1).alias("sum"))
 
-    def i0(x: Column) -> Column:
-        start = F.struct(S.lit(1).alias("term"), S.lit(1).alias("sum"))
+    def add(a: Column, k: Column) -> Column:
+        term = a["term"] * F.pow(x / (2 * k), S.lit(2))
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
 
-        def add(a: Column, k: Column) -> Column:
-            term = a["term"] * F.pow(x / (2 * k), S.lit(2))
-            return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+    return F.reduce(F.sequence(F.lit(1), F.lit(25)), start, add, lambda a: a["sum"])
 
-        return F.reduce(F.sequence(F.lit(1), F.lit(25)), start, add, lambda a: a["sum"])
 
+def bessel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modified Bessel function of order 0 of 8 |x|, from 25 terms of its series, and the Kaiser weight that follows from it."""
     f = frames(spark, sf_dir).select("frame_no", F.get("x", F.lit(0)).alias("x")).where("x is not null").select("frame_no", i0(8 * F.abs(S.clamp(F.col("x")))).alias("b"), i0(S.lit(8)).alias("top"))
     return f.select("frame_no", F.round("b", 6).alias("i0"), F.round(F.col("b") / F.col("top"), 8).alias("weight"))
 
@@ -153,4 +154,14 @@ def bessel(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["bessel"] = f"""WITH {FRAMES_SQL}, t AS (SELECT k, CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS fk FROM range(0, 26) r(k)), b AS (SELECT frame_no, sum(pow(pow(4 * abs(greatest(least(x, 1.0), -1.0)), k) / fk, 2)) AS b FROM f, t WHERE i = 0 GROUP BY 1)
 SELECT frame_no, round(b, 6) AS i0, round(b / (SELECT sum(pow(pow(4, k) / fk, 2)) FROM t), 8) AS weight FROM b"""
 
-QUERIES = {f.__name__: f for f in (fixed_point, checksums, generator, argsort, spacing_repair, slope_ladder, top_lags, seek_table, bessel)}
+
+def bessel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``bessel`` gives, of every sample of a frame."""
+    b = frames(spark, sf_dir).select("frame_no", F.posexplode(F.transform("x", lambda v: i0(8 * F.abs(S.clamp(v))))).alias("i", "b"), i0(S.lit(8)).alias("top"))
+    return b.select("frame_no", F.col("i").cast("bigint").alias("i"), F.round("b", 6).alias("i0"), F.round(F.col("b") / F.col("top"), 8).alias("weight"))
+
+
+ORACLES["bessel_samples"] = f"""WITH {FRAMES_SQL}, t AS (SELECT k, CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS fk FROM range(0, 26) r(k)), b AS (SELECT frame_no, i, sum(pow(pow(4 * abs(greatest(least(x, 1.0), -1.0)), k) / fk, 2)) AS b FROM f, t GROUP BY 1, 2)
+SELECT frame_no, i, round(b, 6) AS i0, round(b / (SELECT sum(pow(pow(4, k) / fk, 2)) FROM t), 8) AS weight FROM b"""
+
+QUERIES = {f.__name__: f for f in (fixed_point, checksums, generator, argsort, spacing_repair, slope_ladder, top_lags, seek_table, bessel, bessel_samples)}

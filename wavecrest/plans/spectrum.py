@@ -158,6 +158,21 @@ def cosine_transform(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFr
 ORACLES["cosine_transform"] = f"""WITH {FRAMES_SQL} SELECT frame_no, k, round(CASE WHEN k = 0 THEN sqrt(1 / 16.0) ELSE sqrt(2 / 16.0) END * sum(x * cos((2 * i + 1) * k * pi() / 32)), 6) AS c FROM f, range(0, 16) t(k) WHERE i < 16 GROUP BY 1, 2"""
 
 
+def cosine_blocks(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
+    """The orthonormal cosine transform of every block of a frame; a last block that isn't full is filled up with zeros."""
+    def row(v: Column, k: Column) -> Column:
+        norm = F.when(k == 0, S.lit(math.sqrt(1 / size))).otherwise(S.lit(math.sqrt(2 / size)))
+        return norm * S.total(F.transform(v, lambda x, i: x * F.cos((2 * i + 1) * k * (math.pi / (2 * size)))))
+
+    at = F.sequence(F.lit(0), F.lit(size - 1))
+    blocks = frames(spark, sf_dir).select("frame_no", F.posexplode(bands(F.col("x"), lambda b, v: F.transform(at, lambda k: row(v, k)), size)).alias("block", "c"))
+    c = blocks.select("frame_no", F.col("block").cast("bigint").alias("block"), F.posexplode("c").alias("k", "c"))
+    return c.select("frame_no", "block", F.col("k").cast("bigint").alias("k"), F.round("c", 6).alias("c"))
+
+
+ORACLES["cosine_blocks"] = f"""WITH {FRAMES_SQL} SELECT frame_no, i // 16 AS block, k, round(CASE WHEN k = 0 THEN sqrt(1 / 16.0) ELSE sqrt(2 / 16.0) END * sum(x * cos((2 * (i % 16) + 1) * k * pi() / 32)), 6) AS c FROM f, range(0, 16) t(k) GROUP BY 1, 2, 3"""
+
+
 def snr(spark: SparkSession, sf_dir: str, bits: int = 8) -> DataFrame:
     """Ratio of signal to quantiser noise, of the whole frame, and the mean over segments of 8 samples that aren't silent, each
     held to [-10, 50] dB."""
@@ -203,4 +218,4 @@ def spectral_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["spectral_distance"] = f"""WITH {FRAMES_SQL}, q AS (SELECT *, {QUANT_SQL} AS ix FROM f), d AS (SELECT frame_no, label, sqrt(avg(pow(10 * log10(x * x + 1e-6) - 10 * log10(pow(sign(ix) * pow(abs(ix), 4 / 3.0) * 0.02, 2) + 1e-6), 2))) AS d FROM q GROUP BY 1, 2)
 SELECT label, round(avg(d), 5) AS distance_db FROM d GROUP BY 1"""
 
-QUERIES = {f.__name__: f for f in (band_energy, spread_mask, tonality, noise_to_mask, spectral_shape, power_quant, lowpass_zero, haar, median5, cosine_transform, snr, band_snr, spectral_distance)}
+QUERIES = {f.__name__: f for f in (band_energy, spread_mask, tonality, noise_to_mask, spectral_shape, power_quant, lowpass_zero, haar, median5, cosine_transform, cosine_blocks, snr, band_snr, spectral_distance)}
