@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavecrest.operators.bridge import CHANNELS_SQL
 from wavecrest.sources.shared import folder
-from wavecrest.streaming.blocks import blocks, hourly, run_to_end, stream
+from wavecrest.streaming.blocks import blocks, blocks_to_end, hourly, run_to_end, stream
 
 ORACLES: dict[str, str] = {}
 
@@ -21,6 +21,14 @@ def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["stream_blocks"] = f"WITH {CHANNELS_SQL} SELECT channel, i // 8 AS block, round(sum(x * x), 4) AS energy FROM c GROUP BY 1, 2 HAVING count(*) = 8"
 
 
+def stream_all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks of 8 samples of each channel, with the last ones, which the end of the stream leaves unfilled."""
+    return blocks_to_end(stream(spark, sf_dir), folder(spark)).select("channel", "block", "n", F.round("energy", 4).alias("energy"), "full")
+
+
+ORACLES["stream_all_blocks"] = f'WITH {CHANNELS_SQL} SELECT channel, i // 8 AS block, count(*) AS n, round(sum(x * x), 4) AS energy, count(*) = 8 AS "full" FROM c GROUP BY 1, 2'
+
+
 def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts that are final: those that end a day or more before the last event."""
     out = run_to_end(hourly(stream(spark, sf_dir)), folder(spark))
@@ -30,4 +38,4 @@ def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["stream_hours"] = """WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS m FROM events), h AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
 SELECT CAST(epoch(h) AS BIGINT) AS hour, event_type, n, total FROM h, m WHERE h + INTERVAL 1 HOUR <= date_trunc('millisecond', m)"""
 
-QUERIES = {f.__name__: f for f in (stream_blocks, stream_hours)}
+QUERIES = {f.__name__: f for f in (stream_blocks, stream_all_blocks, stream_hours)}
