@@ -14,6 +14,11 @@ def lit(x: float) -> Column:
     return F.lit(float(x))
 
 
+def let(value: Column, make) -> Column:
+    """make(value), where make may use value often and it is computed once: a lambda's variable is bound to it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def total(values: Column) -> Column:
     """Sum of an array; 0 of an empty one."""
     return F.reduce(values, lit(0), lambda a, x: a + x)

@@ -146,12 +146,13 @@ def i0(x: Column) -> Column:
 
 
 def bessel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The modified Bessel function of order 0 of 8 |x|, from 25 terms of its series, and the Kaiser weight that follows from it."""
-    f = frames(spark, sf_dir).select("frame_no", F.get("x", F.lit(0)).alias("x")).where("x is not null").select("frame_no", i0(8 * F.abs(S.clamp(F.col("x")))).alias("b"), i0(S.lit(8)).alias("top"))
+    """The modified Bessel function of order 0 of 8 times a frame's greatest |x|, from 25 terms of its series, and the Kaiser weight that follows from it."""
+    peak = F.array_max(F.transform("x", lambda v: F.abs(S.clamp(v))))
+    f = frames(spark, sf_dir).where(F.size("x") > 0).select("frame_no", i0(8 * peak).alias("b"), i0(S.lit(8)).alias("top"))
     return f.select("frame_no", F.round("b", 6).alias("i0"), F.round(F.col("b") / F.col("top"), 8).alias("weight"))
 
 
-ORACLES["bessel"] = f"""WITH {FRAMES_SQL}, t AS (SELECT k, CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS fk FROM range(0, 26) r(k)), b AS (SELECT frame_no, sum(pow(pow(4 * abs(greatest(least(x, 1.0), -1.0)), k) / fk, 2)) AS b FROM f, t WHERE i = 0 GROUP BY 1)
+ORACLES["bessel"] = f"""WITH {FRAMES_SQL}, t AS (SELECT k, CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS fk FROM range(0, 26) r(k)), p AS (SELECT frame_no, max(abs(greatest(least(x, 1.0), -1.0))) AS p FROM f GROUP BY 1), b AS (SELECT frame_no, sum(pow(pow(4 * p, k) / fk, 2)) AS b FROM p, t GROUP BY 1)
 SELECT frame_no, round(b, 6) AS i0, round(b / (SELECT sum(pow(pow(4, k) / fk, 2)) FROM t), 8) AS weight FROM b"""
 
 

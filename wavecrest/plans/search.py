@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavecrest.functions import signal as S
 from wavecrest.operators.bridge import FRAMES_SQL, frames, samples, table
+from wavecrest.operators.ranks import quantiles, sums_below
 
 ORACLES: dict[str, str] = {}
 QUANT_SQL = "CAST(sign(x) * floor(pow(abs(x) / {0}, 0.75) + 0.4054) AS BIGINT)"
@@ -133,26 +134,26 @@ SELECT CAST((SELECT min(b) FROM s WHERE b >= n) AS BIGINT) AS frame_bytes, count
 
 def bench_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, sample deviation (0 of one), extremes, median and count of event values by type."""
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"), F.median("value").alias("mid"), F.count("value").alias("n"))
-    return g.select("event_type", F.round("m", 6).alias("mean"), F.round(F.coalesce("sd", S.lit(0)), 6).alias("std"), "least", "most", F.round("mid", 6).alias("median"), "n")
+    e = table(spark, sf_dir, "events")
+    g = e.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
+    mid = quantiles(e, "event_type", "value", 0.5, 1.0, "mid").withColumnRenamed("event_type", "kind")
+    return g.join(mid, F.col("event_type").eqNullSafe(F.col("kind")), "left").select("event_type", F.round("m", 6).alias("mean"), F.round(F.coalesce("sd", S.lit(0)), 6).alias("std"), "least", "most", F.round("mid", 6).alias("median"), "n")
 
 
 ORACLES["bench_stats"] = "SELECT event_type, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, min(value) AS least, max(value) AS most, round(median(value), 6) AS median, count(value) AS n FROM events GROUP BY 1"
 
 
 def rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mann-Whitney's U between the values of each type of event and the first type, ties at their mean rank. Values are counted
-    by type first; ranks are running sums over distinct values within a pair of types."""
-    e = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    kinds = sorted(r[0] for r in e.select("event_type").where("event_type is not null").distinct().collect())  # a handful of types
-    base, rest = kinds[0] if kinds else "", kinds[1:]
-    others = e.where(F.col("event_type") != base).select(F.col("event_type").alias("kind"), "value", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    each = F.explode(F.array(*map(F.lit, rest)).cast("array<string>")).alias("kind")
-    mine = e.where(F.col("event_type") == base).select(each, "value", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
-    v = others.unionAll(mine).groupBy("kind", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    below = F.sum("b").over(Window.partitionBy("kind").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    v = v.withColumn("u", F.col("a") * (F.coalesce(below, F.lit(0)) + F.col("b") / 2))
-    return v.groupBy("kind").agg(F.sum("a").alias("n"), F.sum("b").alias("n_base"), F.round(F.sum("u"), 1).alias("u"))
+    """Mann-Whitney's U between the values of each type of event and the first type, ties at their mean rank. Values are counted by type first;
+    how many values of the first type are smaller is a running sum over ranges of values, then within a range."""
+    e = table(spark, sf_dir, "events").where("value is not null and event_type is not null")
+    base = F.col("event_type") == e.select(F.min("event_type")).scalar()
+    counted = e.groupBy("event_type", "value").agg(F.count("*").alias("n")).withColumn("is_base", base)
+    firsts = counted.groupBy("value").agg(F.sum(F.when(F.col("is_base"), F.col("n")).otherwise(0)).alias("b"))
+    below = sums_below(firsts, "value", "b", 1.0, "below")
+    u = counted.where("not is_base").join(below, "value").groupBy(F.col("event_type").alias("kind")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("below") + F.col("b") / 2)).alias("u"))
+    n_base = counted.where("is_base").select(F.sum("n")).scalar()
+    return u.select("kind", "n", n_base.alias("n_base"), F.round("u", 1).alias("u"))
 
 
 ORACLES["rank_sum"] = """WITH b AS (SELECT min(event_type) AS base FROM events WHERE value IS NOT NULL), p AS (SELECT k.kind, value, event_type = k.kind AS mine FROM events, b, (SELECT DISTINCT event_type AS kind FROM events, b WHERE event_type <> base) k WHERE event_type IN (k.kind, b.base) AND value IS NOT NULL),
@@ -161,15 +162,17 @@ SELECT kind, count(*) FILTER (mine) AS n, count(*) FILTER (NOT mine) AS n_base,
 
 
 def byte_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places in which the text of each turn of a conversation differs from the turn before; what one has beyond the other counts."""
+    """Bytes in which the text of each turn of a conversation, in UTF-8, differs from the turn before; what one has beyond the other counts."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    c = c.withColumn("b", before).where("b is not null").select("conv_id", "turn", F.split("text", "").alias("x"), F.split("b", "").alias("y"))
-    same = F.aggregate(F.zip_with("x", "y", lambda p, q: F.coalesce((p == q).cast("int"), F.lit(0))), F.lit(0), lambda a, v: a + v)
-    return c.select("conv_id", "turn", (F.greatest(F.size("x"), F.size("y")) - same).cast("bigint").alias("different"))
+    c = c.withColumn("b", before).where("b is not null").select("conv_id", "turn", F.col("text").cast("binary").alias("x"), F.col("b").cast("binary").alias("y"))
+    n = F.least(F.octet_length("x"), F.octet_length("y"))
+    one = lambda a, i: F.substring(a, i, F.lit(1))
+    same = F.when(n > 0, F.reduce(F.sequence(F.lit(1), n), F.lit(0), lambda a, i: a + (one(F.col("x"), i) == one(F.col("y"), i)).cast("int"))).otherwise(0)
+    return c.select("conv_id", "turn", (F.greatest(F.octet_length("x"), F.octet_length("y")) - same).cast("bigint").alias("different"))
 
 
-ORACLES["byte_diff"] = """WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE text IS NOT NULL)
-SELECT conv_id, turn, CAST(greatest(length(text), length(b)) - coalesce(list_sum(list_transform(range(1, least(length(text), length(b)) + 1), lambda k: CASE WHEN substr(text, k, 1) = substr(b, k, 1) THEN 1 ELSE 0 END)), 0) AS BIGINT) AS different FROM c WHERE b IS NOT NULL"""
+ORACLES["byte_diff"] = """WITH c AS (SELECT conv_id, turn, hex(encode(text)) AS x, hex(encode(lag(text) OVER (PARTITION BY conv_id ORDER BY turn))) AS y FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CAST(greatest(length(x), length(y)) // 2 - coalesce(list_sum(list_transform(range(0, least(length(x), length(y)) // 2), lambda k: CASE WHEN substr(x, 2 * k + 1, 2) = substr(y, 2 * k + 1, 2) THEN 1 ELSE 0 END)), 0) AS BIGINT) AS different FROM c WHERE y IS NOT NULL"""
 
 QUERIES = {f.__name__: f for f in (league, gate, code_cost, factor_search, gain_search, last_nonzero, nearest_rate, first_fit, bench_stats, rank_sum, byte_diff)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavecrest.functions import signal as S
 from wavecrest.operators.bridge import CHANNELS_SQL, FRAMES_SQL, channels, frames, samples
+from wavecrest.operators.ranks import numbered
 
 ORACLES: dict[str, str] = {}
 PCM_SQL = FRAMES_SQL + ", q AS (SELECT frame_no, i, CAST(sign(x) * floor(abs(greatest(least(x, 1.0), -1.0) * 32767) + 0.5) AS BIGINT) AS v FROM f)"
@@ -16,12 +17,7 @@ PCM_SQL = FRAMES_SQL + ", q AS (SELECT frame_no, i, CAST(sign(x) * floor(abs(gre
 
 def differences(v: Column) -> Column:
     """First differences of an array, from a zero before it."""
-    return F.transform(v, lambda x, i: x - F.coalesce(F.get(v, i - 1), F.lit(0).cast("bigint")))
-
-
-def running(v: Column) -> Column:
-    """Running sums of an array."""
-    return F.transform(v, lambda x, i: F.reduce(F.slice(v, F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y))
+    return S.let(v, lambda a: F.transform(a, lambda x, i: x - F.coalesce(F.get(a, i - 1), F.lit(0).cast("bigint"))))
 
 
 def diff_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +25,7 @@ def diff_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = frames(spark, sf_dir).select("frame_no", F.transform("x", lambda x: S.quantise(x, 16)).alias("o0"))
     for k in range(4):
         v = v.withColumn(f"o{k + 1}", differences(F.col(f"o{k}")))
-    cost = [F.reduce(F.transform(F.slice(f"o{k}", 5, 1 << 20), lambda x: F.abs(x)), F.lit(0).cast("bigint"), lambda a, x: a + x) for k in range(5)]
+    cost = [F.reduce(F.transform(F.slice(f"o{k}", F.lit(5), F.greatest(F.size(f"o{k}") - 4, F.lit(0))), lambda x: F.abs(x)), F.lit(0).cast("bigint"), lambda a, x: a + x) for k in range(5)]
     best = F.array_min(F.array(*[F.struct(c.alias("cost"), F.lit(k).cast("bigint").alias("k")) for k, c in enumerate(cost)]))
     return v.select("frame_no", *[c.alias(f"cost{k}") for k, c in enumerate(cost)], best["k"].alias("best_order"))
 
@@ -42,11 +38,12 @@ SELECT *, CAST(CASE least(cost0, cost1, cost2, cost3, cost4) WHEN cost0 THEN 0 W
 
 
 def diff_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-2 residuals undone by two running sums: the samples come back."""
+    """Order-2 residuals undone by two running sums along the frame: the samples come back."""
     v = frames(spark, sf_dir).select("frame_no", F.transform("x", lambda x: S.quantise(x, 16)).alias("v"))
-    v = v.withColumn("r", differences(differences(F.col("v")))).withColumn("r1", running(F.col("r"))).withColumn("back", running(F.col("r1")))
-    out = v.select("frame_no", F.posexplode(F.arrays_zip("r", "back")).alias("i", "z"))
-    return out.select("frame_no", F.col("i").cast("bigint").alias("i"), F.col("z.r").alias("residual"), F.col("z.back").alias("restored"))
+    r = v.select("frame_no", F.posexplode(differences(differences(F.col("v")))).alias("i", "residual"))
+    w = Window.partitionBy("frame_no").orderBy("i")
+    back = r.withColumn("once", F.sum("residual").over(w)).withColumn("restored", F.sum("once").over(w))
+    return back.select("frame_no", F.col("i").cast("bigint").alias("i"), "residual", "restored")
 
 
 ORACLES["diff_restore"] = f"""WITH {PCM_SQL}, a AS (SELECT frame_no, i, v, v - {_lag.format('v')} AS o1 FROM q)
@@ -64,10 +61,13 @@ ORACLES["zigzag"] = f"WITH {PCM_SQL} SELECT frame_no, i, CASE WHEN v >= 0 THEN 2
 
 def rice_param(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parameter, 0 to 14, with the fewest bits for a frame's first differences; of equal ones the least."""
-    v = frames(spark, sf_dir).where(F.size("x") > 0).select("frame_no", F.transform(differences(F.transform("x", lambda x: S.quantise(x, 16))), S.zigzag).alias("z"))
-    cost = lambda k: F.reduce("z", F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x / F.pow(S.lit(2), k)).cast("bigint") + 1 + k)
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.struct(cost(k).alias("bits"), k.cast("bigint").alias("k"))))
-    return v.select("frame_no", best.alias("b")).select("frame_no", F.col("b.k").alias("k"), F.col("b.bits").alias("bits"))
+    z = F.transform(differences(F.transform("x", lambda x: S.quantise(x, 16))), S.zigzag)
+
+    def cheapest(z: Column) -> Column:
+        unary = lambda k: F.reduce(z, F.lit(0).cast("bigint"), lambda a, x: a + F.shiftright(x, k))
+        return F.array_min(F.array(*[F.struct((unary(k) + F.size(z) * (1 + k)).alias("bits"), F.lit(k).cast("bigint").alias("k")) for k in range(15)]))
+
+    return frames(spark, sf_dir).where(F.size("x") > 0).select("frame_no", S.let(z, cheapest).alias("b")).select("frame_no", F.col("b.k").alias("k"), F.col("b.bits").alias("bits"))
 
 
 ORACLES["rice_param"] = f"""WITH {PCM_SQL}, r AS (SELECT frame_no, v - {_lag.format('v')} AS r FROM q), z AS (SELECT frame_no, CASE WHEN r >= 0 THEN 2 * r ELSE -2 * r - 1 END AS z FROM r),
@@ -103,8 +103,7 @@ SELECT channel, block, round(e / (avg(e) OVER (PARTITION BY channel ORDER BY blo
 def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of one label under a sine window, each laid half over the one before, summed by absolute place."""
     f = frames(spark, sf_dir).where("label is not null")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("frame_no")) - 1
-    s = f.withColumn("k", rank.cast("bigint")).select("label", "k", F.posexplode("x").alias("i", "x"))
+    s = numbered(f, ["label"], F.floor(F.col("frame_no") / 65536), ["frame_no"], "k").select("label", "k", F.posexplode("x").alias("i", "x"))
     return s.groupBy("label", (F.col("k") * 32 + F.col("i")).alias("place")).agg(F.round(F.sum(F.col("x") * F.sin((F.col("i") + 0.5) * (math.pi / 64))), 6).alias("x"))
 
 
@@ -112,25 +111,33 @@ ORACLES["overlap_add"] = f"""WITH {FRAMES_SQL}, k AS (SELECT vec_id AS frame_no,
 SELECT label, k * 32 + i AS place, round(sum(x * sin((i + 0.5) * pi() / 64)), 6) AS x FROM f JOIN k USING (frame_no) GROUP BY 1, 2"""
 
 
-def kernel(t: Column, half: int) -> Column:
-    """A sinc under a raised cosine of so many samples on either side."""
-    return F.when(F.abs(t) < 1e-9, S.lit(1)).otherwise(F.sin(math.pi * t) / (math.pi * t)) * (0.5 + 0.5 * F.cos(math.pi * t / half))
+def sinc(t: float) -> float:
+    return 1.0 if abs(t) < 1e-9 else math.sin(math.pi * t) / (math.pi * t)
 
 
-def resample_2to3(spark: SparkSession, sf_dir: str, half: int = 8) -> DataFrame:
-    """Three samples for every two of a frame, by a windowed sinc whose weights are brought to one; beyond the ends the signal is 0, but
-    the weights there count."""
-    n = F.size("x")
-    out = F.sequence(F.lit(0), S.half_away(n * 1.5).cast("int") - 1)
+def by_phases(x: Column, phases: list[list[float]], step: int, first: int) -> Column:
+    """len(phases) output samples for every ``step`` samples of an array. Output k lies at sample k * step / len(phases); the weights of its phase
+    apply from ``first`` samples after the sample at or before it. Beyond the ends the signal is 0."""
+    up = len(phases)
+    weights = F.array(*[F.array(*map(S.lit, p)) for p in phases])
+    out = F.sequence(F.lit(0), S.half_away(F.size(x) * (up / step)).cast("int") - 1)
 
     def one(k: Column) -> Column:
-        at = k * (2 / 3)
-        taps = F.sequence(F.floor(at).cast("int") - half + 1, F.floor(at).cast("int") + half)
-        weight = F.transform(taps, lambda j: kernel(at - j, half))
-        value = S.total(F.zip_with(taps, weight, lambda j, w: w * F.coalesce(F.get("x", F.when(j >= 0, j)), S.lit(0))))
-        return value / S.total(weight)
+        start = F.floor(k * step / up).cast("int") + first
+        taps = F.transform(F.get(weights, F.pmod(k, F.lit(up))), lambda w, d: w * F.coalesce(F.get(x, F.when(start + d >= 0, start + d)), S.lit(0)))
+        return S.total(taps)
+
+    return F.when(S.half_away(F.size(x) * (up / step)) > 0, F.transform(out, one))
 
-    f = frames(spark, sf_dir).where(n > 0).select("frame_no", F.posexplode(F.transform(out, one)).alias("k", "y"))
+
+def resample_2to3(spark: SparkSession, sf_dir: str, half: int = 8) -> DataFrame:
+    """Three samples for every two of a frame, by a sinc under a raised cosine whose weights are brought to one; beyond the ends the signal
+    is 0, but the weights there count. The weights depend on the phase only."""
+    phases = []
+    for fraction in (0, 2 / 3, 1 / 3):
+        w = [sinc(fraction - j) * (0.5 + 0.5 * math.cos(math.pi * (fraction - j) / half)) for j in range(1 - half, half + 1)]
+        phases.append([v / sum(w) for v in w])
+    f = frames(spark, sf_dir).where(F.size("x") > 0).select("frame_no", F.posexplode(by_phases(F.col("x"), phases, 2, 1 - half)).alias("k", "y"))
     return f.select("frame_no", F.col("k").cast("bigint").alias("k"), F.round("y", 6).alias("y"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wavecrest.functions import signal as S
 from wavecrest.operators.bridge import FRAMES_SQL, frames, samples
+from wavecrest.operators.ranks import quantiles
 
 ORACLES: dict[str, str] = {}
 WIDTH, STEP, RATE = 8, 0.02, 16000.0
@@ -42,20 +43,27 @@ def centre(band: Column) -> Column:
 
 
 def masks(energies: Column, offset_db: float = 14.0) -> Column:
-    """Masking threshold of each band: all bands' energies, spread over critical bands, less an offset."""
-    at = F.sequence(F.lit(0), F.size(energies) - 1)
-    one = lambda j: S.total(F.transform(at, lambda k: F.get(energies, k) * F.pow(S.lit(10), S.spread_db(centre(j) - centre(k)) / 10)))
-    return F.transform(at, lambda j: one(j) * (10 ** (-offset_db / 10)))
+    """Masking threshold of each band: all bands' energies, spread over critical bands, less an offset. Weights between the first 8 bands are
+    constants, others are computed."""
+    z = [13 * math.atan(hz * 0.00076) + 3.5 * math.atan((hz / 7500) ** 2) for hz in ((b * WIDTH + WIDTH / 2) * (RATE / 2 / 64) for b in range(8))]
+    level = lambda y: 15.81 + 7.5 * y - 17.5 * math.sqrt(1 + y * y)
+    known = F.array(*[F.array(*[S.lit(10 ** (level(a - b + 0.474) / 10)) for b in z]) for a in z])
+    weight = lambda j, k: F.coalesce(F.get(F.get(known, j), k), F.pow(S.lit(10), S.spread_db(centre(j) - centre(k)) / 10))
+
+    def spread(e: Column) -> Column:
+        return F.transform(e, lambda _, j: S.total(F.transform(e, lambda v, k: v * weight(j, k))) * (10 ** (-offset_db / 10)))
+
+    return S.let(energies, spread)
 
 
 BARK_SQL = "13 * atan({0} * 0.00076) + 3.5 * atan(pow({0} / 7500, 2))"
-MASK_SQL = ENERGY_SQL + f""", z AS (SELECT b AS band, {BARK_SQL.format('((b * 8 + 4.0) * 125.0)')} AS z FROM range(0, 8) t(b)),
+MASK_SQL = ENERGY_SQL + f""", z AS (SELECT DISTINCT band, {BARK_SQL.format('((band * 8 + 4.0) * 125.0)')} AS z FROM e),
 d AS (SELECT j.band AS j, k.band AS k, j.z - k.z + 0.474 AS y FROM z j, z k),
-m AS (SELECT e.frame_no, d.j AS band, sum(e.e * pow(10, (15.81 + 7.5 * y - 17.5 * sqrt(1 + y * y)) / 10)) * pow(10, -1.4) AS mask FROM e JOIN d ON d.k = e.band GROUP BY 1, 2)"""
+m AS (SELECT a.frame_no, a.band, sum(b.e * pow(10, (15.81 + 7.5 * y - 17.5 * sqrt(1 + y * y)) / 10)) * pow(10, -1.4) AS mask FROM e a JOIN e b USING (frame_no) JOIN d ON d.j = a.band AND d.k = b.band GROUP BY 1, 2)"""
 
 
 def spread_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = frames(spark, sf_dir).where(F.size("x") == 64).select("frame_no", F.posexplode(masks(band_energies(F.col("x")))).alias("band", "mask"))
+    m = frames(spark, sf_dir).where(F.size("x") > 0).select("frame_no", F.posexplode(masks(band_energies(F.col("x")))).alias("band", "mask"))
     return m.select("frame_no", F.col("band").cast("bigint").alias("band"), F.round("mask", 6).alias("mask"))
 
 
@@ -74,14 +82,22 @@ ORACLES["tonality"] = f"""WITH {FRAMES_SQL}, g AS (SELECT frame_no, 10 * log10(e
 SELECT frame_no, round(flat, 5) AS flatness_db, round(greatest(least(flat / -60, 1), 0), 6) AS alpha FROM g"""
 
 
-def noise_to_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By depth of a quantiser: mean and 95th percentile of noise to mask over all bands of all frames, and the share above the mask."""
-    f = frames(spark, sf_dir).where(F.size("x") == 64).withColumn("bits", F.explode(F.array(F.lit(6), F.lit(8), F.lit(10))))
+def noise_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame_no, label, bits, nmr: noise to mask in dB of each band of each frame, under quantisers of three depths."""
+    f = frames(spark, sf_dir).where(F.size("x") > 0).withColumn("mask", masks(band_energies(F.col("x"))))
+    f = f.withColumn("bits", F.explode(F.array(F.lit(6), F.lit(8), F.lit(10))))
     top = F.pow(S.lit(2), F.col("bits") - 1) - 1
     noise = F.transform("x", lambda v: S.half_away(S.clamp(v) * top) / top - v)
-    both = F.zip_with(band_energies(noise), masks(band_energies(F.col("x"))), lambda n, m: S.db((n + S.TINY) / (m + S.TINY)))
-    v = f.select("bits", F.explode(both).alias("nmr"))
-    return v.groupBy("bits").agg(F.round(F.avg("nmr"), 4).alias("nmr_mean"), F.round(F.percentile("nmr", F.lit(0.95)), 4).alias("nmr_p95"), F.round(100 * F.avg((F.col("nmr") > 0).cast("int")), 4).alias("audible_pct"))
+    both = F.zip_with(band_energies(noise), "mask", lambda n, m: S.db((n + S.TINY) / (m + S.TINY)))
+    return f.select("frame_no", "label", "bits", F.explode(both).alias("nmr"))
+
+
+def noise_to_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By depth of a quantiser: mean and 95th percentile of noise to mask over all bands of all frames, and the share above the mask."""
+    v = noise_ratios(spark, sf_dir)
+    g = v.groupBy("bits").agg(F.avg("nmr").alias("mean"), F.avg((F.col("nmr") > 0).cast("int")).alias("above"))
+    g = g.join(quantiles(v, "bits", "nmr", 0.95, 0.25, "p95"), "bits")
+    return g.select("bits", F.round("mean", 4).alias("nmr_mean"), F.round("p95", 4).alias("nmr_p95"), F.round(100 * F.col("above"), 4).alias("audible_pct"))
 
 
 ORACLES["noise_to_mask"] = f"""WITH {MASK_SQL}, q AS (SELECT frame_no, i // 8 AS band, bits, sum(pow(sign(x) * floor(abs(greatest(least(x, 1.0), -1.0) * (pow(2, bits - 1) - 1)) + 0.5) / (pow(2, bits - 1) - 1) - x, 2)) AS n FROM f, (VALUES (6), (8), (10)) t(bits) GROUP BY 1, 2, 3),
@@ -92,9 +108,15 @@ SELECT CAST(bits AS INTEGER) AS bits, round(avg(nmr), 4) AS nmr_mean, round(quan
 def spectral_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroid, share of energy in the upper half, and the first bin by which 95 % of the energy is reached."""
     f = frames(spark, sf_dir).where(F.size("x") > 0).select("frame_no", F.transform("x", lambda v: v * v).alias("p"))
-    at = F.sequence(F.lit(0), F.size("p") - 1)
-    sums = f.withColumn("all", S.total(F.col("p"))).withColumn("cum", F.transform(at, lambda i: S.total(F.slice("p", F.lit(1), i + 1))))
-    roll = F.array_min(F.filter(at, lambda i: F.round(F.get("cum", i), 9) >= F.round(0.95 * F.col("all"), 9)))
+    sums = f.withColumn("all", S.total(F.col("p")))
+    start = F.struct(S.lit(0).alias("sum"), F.lit(0).alias("i"), F.lit(-1).alias("hit"))
+
+    def step(a: Column, v: Column) -> Column:
+        s = a["sum"] + v
+        hit = F.when((a["hit"] < 0) & (F.round(s, 9) >= F.round(0.95 * F.col("all"), 9)), a["i"]).otherwise(a["hit"])
+        return F.struct(s.alias("sum"), (a["i"] + 1).alias("i"), hit.alias("hit"))
+
+    roll = F.reduce("p", start, step, lambda a: a["hit"])
     weighted = S.total(F.transform("p", lambda v, i: v * i))
     high = S.total(F.filter("p", lambda v, i: 2 * i >= F.size("p")))
     return sums.select("frame_no", F.round(weighted / (F.col("all") + 1e-30), 5).alias("centroid"), F.round(100 * high / (F.col("all") + 1e-30), 5).alias("high_pct"), roll.cast("bigint").alias("rolloff"))
@@ -145,17 +167,20 @@ ORACLES["median5"] = f"""WITH {FRAMES_SQL}, m AS (SELECT frame_no, i, x, median(
 SELECT frame_no, i, round(CASE WHEN n = 5 THEN m ELSE x END, 6) AS x FROM m"""
 
 
-def cosine_transform(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
-    """The orthonormal cosine transform of each frame's first samples, as a product with a constant matrix."""
+def cosine_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orthonormal cosine transform of each whole frame, of any length."""
+    n = F.size("x")
+
     def row(k: Column) -> Column:
-        norm = F.when(k == 0, S.lit(math.sqrt(1 / size))).otherwise(S.lit(math.sqrt(2 / size)))
-        return norm * S.total(F.transform(F.slice("x", 1, size), lambda v, i: v * F.cos((2 * i + 1) * k * (math.pi / (2 * size)))))
+        norm = F.sqrt(F.when(k == 0, S.lit(1)).otherwise(S.lit(2)) / n)
+        return norm * S.total(F.transform("x", lambda v, i: v * F.cos((2 * i + 1) * k * (math.pi / 2) / n)))
 
-    f = frames(spark, sf_dir).where(F.size("x") >= size).select("frame_no", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), row)).alias("k", "c"))
+    f = frames(spark, sf_dir).where(n > 0).select("frame_no", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), row)).alias("k", "c"))
     return f.select("frame_no", F.col("k").cast("bigint").alias("k"), F.round("c", 6).alias("c"))
 
 
-ORACLES["cosine_transform"] = f"""WITH {FRAMES_SQL} SELECT frame_no, k, round(CASE WHEN k = 0 THEN sqrt(1 / 16.0) ELSE sqrt(2 / 16.0) END * sum(x * cos((2 * i + 1) * k * pi() / 32)), 6) AS c FROM f, range(0, 16) t(k) WHERE i < 16 GROUP BY 1, 2"""
+ORACLES["cosine_transform"] = f"""WITH {FRAMES_SQL}, s AS (SELECT frame_no, count(*) AS n FROM f GROUP BY 1), k AS (SELECT frame_no, n, unnest(range(0, n)) AS k FROM s)
+SELECT frame_no, k, round(sqrt(CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END / n) * sum(x * cos((2 * i + 1) * k * pi() / 2 / n)), 6) AS c FROM f JOIN k USING (frame_no) GROUP BY frame_no, k, n"""
 
 
 def cosine_blocks(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
