@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavecrest.functions import signal as S
-from wavecrest.sources import formats, wav
+from wavecrest.sources import formats, raw, wav
 
 
 @pytest.mark.parametrize(("bits", "is_float"), [(8, False), (16, False), (24, False), (32, False), (32, True), (64, True), (17, False)])
@@ -22,6 +22,21 @@ def test_wav_odd_and_broken():
     assert wav.parse_wav(b"") is None and wav.parse_wav(b"RIFF\0\0\0\0WAVE") is None
 
 
+@pytest.mark.parametrize("bits", [8, 16, 24, 32])
+def test_headerless_files(spark, tmp_path, bits):
+    x = np.round(np.clip(np.random.default_rng(bits).normal(0, 0.5, 101), -1, 1), 6)
+    data = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(raw.pcm_bytes(F.col("x"), bits).alias("d")).first().d
+    assert len(data) == 101 * bits // 8
+    (tmp_path / "a.pcm").write_bytes(data + b"\0")
+    got = raw.read_pcm(spark, f"file://{tmp_path}/a.pcm", 8000, 2, bits).toPandas().sort_values(["i", "channel"])
+    whole = (len(data) + 1) // (bits // 4) * 2  # samples of frames that are whole
+    assert len(got) == whole and got.channel.tolist() == [0, 1] * (whole // 2) and (got.rate == 8000).all()
+    assert np.abs(got.value.to_numpy()[:100] - x[:100]).max() < 1.6 / 2 ** (bits - 1) + 1e-6
+    # whole files: the first 44 bytes of a WAV file are its header, the rest is the same samples
+    if bits in (8, 16):
+        assert wav.make_wav(x, 8000, 1, bits)[44 : 44 + len(data)] == bytes(data)
+
+
 def test_laws_are_odd_and_monotone():
     for table in (wav.ulaw_table(), wav.alaw_table()):
         assert len(table) == 256 and np.allclose(np.sort(table), np.sort(-table))

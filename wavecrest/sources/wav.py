@@ -92,7 +92,8 @@ def make_wav(pcm: np.ndarray, sr: int, ch: int, bits: int = 16, is_float: bool =
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """path, sr, ch, pcm of each WAV file below a path; sr, ch and pcm are null for others."""
+    """path, sr, ch, pcm of each WAV file below a path; sr, ch and pcm are null for others. A file is one row of bytes, and a task holds some
+    copies of it, so files of over 2 GB can't be read; cut long recordings into clips first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches):

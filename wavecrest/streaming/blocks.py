@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with time as a timestamp."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -24,7 +24,7 @@ def blocks(events: DataFrame, size: int = 8) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, held = state.get if state.exists else (0, [])
-        new = pd.concat(list(parts)).sort_values(["ts", "event_id"])["value"].to_numpy()
+        new = pd.concat([p for p in parts if len(p)]).sort_values(["ts", "event_id"])["value"].to_numpy()
         x = np.concatenate([np.array(held, float), new])
         n = len(x) // size
         state.update((done + n, x[n * size :].tolist()))
