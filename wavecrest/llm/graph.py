@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.llm.shared import cut
+from wavecrest.llm.shared import cut, drop
 
 
 def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
             .unionAll(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = cut(small)
+        before, e = e, cut(small)
+        drop(before)
         now = e.agg(F.count("*"), F.sum("v"), F.sum("u"), F.count_distinct("u")).first()
         if now == state and now[0] == now[3]:
             break

@@ -17,13 +17,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavecrest.llm.graph import connected_components
-from wavecrest.llm.shared import cut
+from wavecrest.llm.shared import cut, drop, maybe_in
 from wavecrest.llm.words import Texts, chunks, keys, mix
 
 
@@ -217,24 +216,6 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return together(rows).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def maybe_in(docs: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """Rows of docs whose id may be among ``ids`` (column __id): by a table of ``bits`` bits, whatever the number of ids. It only spares
-    the join that follows rows that can't match; with many more ids than bits it spares less, never wrongly."""
-    spark = docs.sparkSession
-    words = ids.select(F.pmod(F.xxhash64("__id"), F.lit(bits)).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    table = np.zeros(bits // 64, np.uint64)
-    for batch in words.toArrow().to_batches():
-        table[batch.column("w").to_numpy()] = batch.column("b").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def there(p: pd.Series) -> pd.Series:
-        at = p.fillna(0).to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return docs.where(there(F.pmod(F.xxhash64(id_col), F.lit(bits))))
-
-
 def runs(batches, by: list[str]):
     """Tables of the rows that agree in the columns ``by``, of batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -293,21 +274,26 @@ def near_duplicates(
 
     wanted = cut(members.select(F.col("id").alias("__id")).distinct())
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
-    sets = cut(shingle_sets(maybe_in(texts, "__id", wanted).join(wanted, "__id", "left_semi"), size))
+    maybe = maybe_in(wanted.select(F.xxhash64("__id").alias("key")))
+    sets = cut(shingle_sets(texts.where(maybe(F.xxhash64("__id"))).join(wanted, "__id", "left_semi"), size))
 
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(confirm(stars, sets, percent))
-    parts = connected_components(links)
+    tied = connected_components(links)
 
-    labelled = cut(members.join(parts, "id", "left").select("h", "id", "n", "size", "total", F.coalesce("component", "id").alias("component")))
+    labelled = cut(members.join(tied, "id", "left").select("h", "id", "n", "size", "total", F.coalesce("component", "id").alias("component")))
     mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
     open_members = labelled.join(mixed, "h").join(reps.select("id", "low", "bands"), "id")
+    drop(members, wanted)
     rest = cut(likely(open_members, percent, block, block_shingles))
+    drop(labelled)
     more = cut(links_across(rest, sets, percent))
+    drop(rest, sets)
 
     # copies, and rows that repeat an id, tie to their representative
     copies = full.join(reps.select("__key", "id"), "__key").where("id <> __id").select(F.col("id").alias("a"), F.col("__id").alias("b"))
     parts = connected_components(links.unionAll(more).unionAll(copies))
+    drop(reps, links, more)
     out = signed.join(parts, signed["__id"] == parts["id"], "left")
     component = F.coalesce("component", "__id")
     return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("__id") == component, F.lit(True)).alias("kept"))

@@ -1,7 +1,7 @@
 """Places and files that the driver and all executors see.
 
 Intermediate tables and the files that operators write go below the folder that the
-session names in ``spark.checkpoint.dir``; only where that is unset (in tests) does a
+session names in ``spark.checkpoint.dir``; only where that is unset and all tasks run in the driver's own process (in tests) does a
 local temporary folder take its place.
 """
 
@@ -9,16 +9,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+import weakref
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Spark 4.1: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path below the shared folder."""
+    """A new path below the shared folder. Raises where executors have machines of their own and no shared folder is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _own[0]
@@ -27,12 +40,47 @@ def folder(spark: SparkSession) -> str:
 
 def cut(frame: DataFrame) -> DataFrame:
     """The rows of frame, written to the shared folder and read from there: later jobs, and tasks that run anew after an
-    executor is lost, start from these files. The driver's JVM is then asked to collect its garbage: Spark removes the shuffle files
-    of finished jobs only when their plans are collected, and until then they fill the executors' disks."""
-    path = folder(frame.sparkSession)
-    frame.write.parquet(path)
-    frame.sparkSession.sparkContext._jvm.System.gc()
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    executor is lost, start from these files. The shuffle files of the writing are removed once it has ended."""
+    spark, path = frame.sparkSession, folder(frame.sparkSession)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(frame.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes the files of frames that ``cut`` returned and that nothing reads any more. Where pyarrow doesn't know the file system, they stay."""
+    import pyarrow as pa
+
+    for frame in frames:
+        try:
+            system, path = file_system(_paths.pop(frame))
+            system.delete_dir(path)
+        except (OSError, pa.ArrowException) as e:
+            warnings.warn(f"an intermediate table stays: {e}", stacklevel=2)
+
+
+def maybe_in(keys: DataFrame, bits: int = 1 << 24) -> Callable[[Column], Column]:
+    """A condition on 64-bit hashes: whether one may be among ``keys`` (column key), by a table of ``bits`` bits, whatever the number of keys. It
+    spares an exact join most rows that can't match; with many more keys than bits it spares less, never wrongly."""
+    place = F.pmod("key", F.lit(bits)).alias("p")
+    words = keys.select(place).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    table = np.zeros(bits // 64, np.uint64)
+    for batch in words.toArrow().to_batches():
+        table[batch.column("w").to_numpy()] = batch.column("b").to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def there(p: pd.Series) -> pd.Series:
+        at = p.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return lambda key: there(F.pmod(key, F.lit(bits)))
 
 
 def column_name(frame: DataFrame, stem: str) -> str:
