@@ -2,62 +2,83 @@
 
 A line is the set of its tokens, ordered by rarity. Two sets of sizes n and m with Jaccard similarity t or more share a token
 among the first n - ceil(t n) + 1 of the one and m - ceil(t m) + 1 of the other (prefix filter), have t n <= m <= n / t (length
-filter), and have enough tokens left behind the shared one (positional filter). A map of 128 bits of each set adds a sound bound: every bit in
-which two maps differ stands for a token that only one of them has. What passes is confirmed on the whole sets.
+filter), and have enough tokens left behind the shared one (positional filter). Two words of 64 parities of each set add a sound bound:
+every bit in which they differ stands for a token that only one of the sets has. What passes is confirmed on the whole sets.
 
 Scale: equal sets are folded into their first line before anything is joined, with a partial aggregate. Rarity is read from a table of
-65,536 summed counts, of fixed size whatever the text, so no join back to all tokens is needed; any order gives exact results, and a good
-one only fewer candidates. Each line is first tried against the first line that holds one of its prefix tokens, and a line once matched
-is removed whatever else it matches, so a group of thousands of alike lines isn't paired with itself; what is left unmatched is tried
-against all earlier lines.
+``BUCKETS`` summed counts, of fixed size whatever the text, so no join back to all tokens is needed; any order gives exact results, and a good
+one only fewer candidates. Each line is first tried against the first line that shares one of some tokens, and a line once matched
+is removed whatever else it matches, so a group of thousands of alike lines isn't paired with itself. What is left is open; open lines'
+prefixes are exchanged once and joined with themselves, then with those of the matched lines. Tables that nothing reads any more are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.llm.shared import column_name, cut
+from wavecrest.llm.shared import column_name, cut, drop
 
 BLANKS = " \t\x0b\x0c\r"
-BUCKETS = 1 << 16
-LOW_53 = (1 << 53) - 1
+BUCKETS = 1 << 18
+#: A token's number: 7 bits of rarity (a character code), 56 bits of hash.
+HASH = (1 << 56) - 1
+#: One in so many tokens, by its hash and so in every line alike, is tried for a first line.
+STAR_SHARE = 3
+#: Bits of the table that tells which texts may be needed again.
+DOC_BITS = 1 << 20
 
 
-def tokens(line: Column) -> Column:
-    """Lower-cased tokens between ASCII white space; none for a blank line."""
-    inner = F.btrim(F.lower(line), F.lit(BLANKS))
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[ \t\x0B\f\r]+"))
+def plain(text: Column) -> Column:
+    """Lower case, with spaces for the other blanks, so that tokens lie between spaces and line feeds."""
+    lower = out = F.lower(text)
+    for blank in BLANKS[1:]:
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return F.when(text.rlike(r"[\t\x0B\f\r]"), out).otherwise(lower)
+
+
+def hashed(tokens: Column) -> Column:
+    """The distinct hashes of tokens but the empty one."""
+
+    def h(t: Column) -> Column:
+        return F.xxhash64(t).bitwiseAND(F.lit(HASH))
+
+    return F.array_remove(F.array_distinct(F.transform(tokens, h)), h(F.lit("")))
 
 
 def rarity_table(docs: DataFrame) -> bytes:
-    """One byte, 1 to 31, for each bucket of token hashes: the power of two of its count of tokens in ``text``. Counts up to twice the
-    median are all 1, since there a bucket's count says nothing of the one token."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[ \t\x0B\f\r\n]+")).alias("t"))
-    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
-    at, n = counts.column("b").to_pylist(), counts.column("n").to_pylist()
-    noise = 2 * sorted(n)[len(n) // 2] if n else 0
-    table = bytearray(b"\x01" * BUCKETS)
-    for b, k in zip(at, n, strict=True):
-        table[b] = min(31, 1 + k.bit_length()) if k > noise else 1
+    """One character, A to Z and on, for each bucket of token hashes: the power of two of its count of tokens in ``text``. Counts up to twice
+    the median are all A, since there a bucket's count says nothing of the one token. At most half of the buckets are collected."""
+    one_line = F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(one_line, " ")).alias("t")).where("t <> ''")
+    counts = cut(words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")))
+    noise = 2 * (counts.agg(F.median("n")).first()[0] or 0)
+    table = bytearray(b"A" * BUCKETS)
+    for b, power in counts.where(F.col("n") > noise).select("b", F.length(F.bin("n"))).collect():
+        table[b] = 64 + min(31, 1 + power)
+    drop(counts)
     return bytes(table)
 
 
-def token_set(line: Column, table: bytes) -> Column:
-    """The distinct tokens of a line as numbers, rarest first: 5 bits of rarity, 5 bits of length (of equally rare tokens the
-    longer first), 53 bits of hash."""
-
-    def numbered(t: Column) -> Column:
-        h = F.xxhash64(t)
-        length = F.lit(31) - F.least(F.octet_length(t), F.lit(31))
-        return F.shiftleft(length.cast("bigint"), 53).bitwiseOR(h.bitwiseAND(F.lit(LOW_53)))
+def by_rarity(hashes: Column, table: bytes) -> Column:
+    """Hashes with their rarity before them, rarest first."""
 
     def ranked(x: Column) -> Column:
         place = x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
         rank = F.ascii(F.substring(F.lit(table), place, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("bigint"), 58).bitwiseOR(x)
+        return F.shiftleft(rank.cast("bigint"), 56).bitwiseOR(x)
+
+    return F.sort_array(F.transform(hashes, ranked))
+
+
+#: Parts the hashes in two halves.
+MIDDLE = 1 << 55
+
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(tokens(line), numbered)), ranked))
+def parity(hashes: Column) -> Column:
+    """A word: in each bit, whether the number of hashes that fall there is odd."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.reduce(hashes, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
 
 def needed(n: Column, m: Column, t: float) -> Column:
@@ -66,7 +87,7 @@ def needed(n: Column, m: Column, t: float) -> Column:
 
 
 def may_match(a: str, b: str, t: float) -> Column:
-    """Length, positional and bitmap filters for the sets whose columns begin with a and b: np holds the size and, in its 31 low bits,
+    """Length, positional and parity filters for the sets whose columns begin with a and b: np holds the size and, in its 31 low bits,
     the place of the shared token."""
     n, m = (F.shiftright(f"{x}np", 31) for x in (a, b))
     p, q = (F.col(f"{x}np").bitwiseAND(F.lit((1 << 31) - 1)) for x in (a, b))
@@ -75,67 +96,94 @@ def may_match(a: str, b: str, t: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (F.least(n - p, m - q) >= least) & (differ <= n + m - 2 * least)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, table: bytes) -> DataFrame:
-    """doc, line and set of the lines named in wanted (doc, line)."""
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, line and set (hashes) of the lines named in wanted (doc, line)."""
     listed = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    rows = docs.join(listed, "doc").select("doc", "lines", F.split("text", "\n").alias("all"))
+    rows = docs.join(listed, "doc").select("doc", "lines", F.split(plain(F.col("text")), "\n").alias("all"))
     rows = rows.select("doc", F.inline(F.transform("lines", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("one")))))
-    return rows.where("one is not null").select("doc", "line", token_set(F.col("one"), table).alias("set"))
+    return rows.where("one is not null").select("doc", "line", hashed(F.split("one", " ")).alias("set"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, table: bytes, t: float) -> DataFrame:
+def may_be_among(ids: DataFrame) -> Column:
+    """A condition on doc: whether it may be among ids (column doc), by a table of DOC_BITS bits. It spares the join that follows most texts
+    that aren't needed; with many more ids than bits it spares less, never wrongly."""
+    bit = lambda p: F.call_function("shiftleft", F.lit(1), F.pmod(p, F.lit(8)).cast("int"))
+    place = F.pmod(F.xxhash64("doc"), F.lit(DOC_BITS))
+    table = bytearray(DOC_BITS // 8)
+    for at, byte in ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 8).alias("at")).agg(F.bit_or(bit(F.col("p")))).collect():
+        table[at] = byte
+    one = F.substring(F.lit(bytes(table)), F.floor(place / 8).cast("int") + 1, F.lit(1))
+    return F.conv(F.hex(one), 16, 10).cast("int").bitwiseAND(bit(place)) != 0
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """(doc, line) of the later lines of pairs (fdoc, fline, doc, line) that are similar indeed."""
     first = pairs.select(F.col("fdoc").alias("doc"), F.col("fline").alias("line"))
-    sets = cut(sets_of(docs, first.unionAll(pairs.select("doc", "line")).distinct(), table))
+    wanted = cut(first.unionAll(pairs.select("doc", "line")).distinct())
+    sets = cut(sets_of(docs.where(may_be_among(wanted)), wanted))
+    drop(wanted)
     x = pairs.join(sets.withColumnRenamed("set", "y"), ["doc", "line"])
     x = x.join(sets.select(F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.col("set").alias("x")), ["fdoc", "fline"])
     common = F.size(F.array_intersect("x", "y"))
-    return x.where(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("doc", "line").distinct()
+    out = cut(x.where(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("doc", "line").distinct())
+    drop(sets)
+    return out
+
+
+def postings(sets: DataFrame) -> DataFrame:
+    """A row per token of the prefix: tok, doc, line, np, map1, map2."""
+    posts = sets.select(F.posexplode("prefix").alias("pos", "tok"), "doc", "line", "n", "map1", "map2")
+    return posts.select("tok", "doc", "line", F.shiftleft("n", 31).bitwiseOR(F.col("pos").cast("bigint")).alias("np"), "map1", "map2")
 
 
 def standing_lines(docs: DataFrame, threshold: float) -> DataFrame:
     """doc and kept (the numbers of its lines that no earlier line matches, blank ones aside) of docs (doc, text); documents without such
     lines have no row."""
-    t = threshold
+    t, c = threshold, F.col
     known = docs.where("doc is not null and text is not null")
     table = rarity_table(known)
 
-    lines = known.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "one"))
-    lines = lines.select("doc", "line", token_set(F.col("one"), table).alias("s")).where(F.size("s") > 0)
-    n = F.size("s")
-    prefix = F.slice("s", 1, (n - F.ceil(n * t - 1e-9) + 1).cast("int"))
-    one = F.lit(1).cast("bigint")
-
-    def bit_map(half: int) -> Column:
-        mine = F.filter("s", lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
-        return F.reduce(mine, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
-
-    first = F.struct("doc", "line", n.cast("bigint").alias("n"), bit_map(0).alias("map1"), bit_map(1).alias("map2"), prefix.alias("prefix"))
+    lines = known.select("doc", F.posexplode(F.split(plain(c("text")), "\n")).alias("line", "one")).where(F.btrim("one") != "")
+    lines = lines.select("doc", "line", hashed(F.split("one", " ")).alias("h"))
+    # of hashes in order, those before and behind the middle: a column each, so that each is computed once
+    lines = lines.select("*", F.size("h").alias("n"), F.sort_array(F.array_append("h", F.lit(MIDDLE))).alias("order"))
+    lines = lines.select("*", F.array_position("order", F.lit(MIDDLE)).cast("int").alias("at"))
+    lines = lines.select("doc", "line", "n", by_rarity(c("h"), table).alias("s"), F.slice("order", F.lit(1), c("at") - 1).alias("low"), F.slice("order", c("at") + 1, c("n") + 1 - c("at")).alias("high"))
+    # of a set that only an equal one can match nothing is joined
+    alone = (F.floor(c("n") / t + 1e-9) == c("n")) & (F.ceil(c("n") * t - 1e-9) == c("n"))
+    prefix = F.slice("s", 1, F.when(alone, 0).otherwise(c("n") - F.ceil(c("n") * t - 1e-9) + 1).cast("int"))
+    # a token is told by 32 bits of its hash: a chance meeting is one more candidate
+    prefix = F.transform(prefix, lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
+    first = F.struct("doc", "line", c("n").cast("bigint").alias("n"), parity(c("low")).alias("map1"), parity(c("high")).alias("map2"), prefix.alias("prefix"))
     keyed = lines.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), first.alias("r"))
     sets = cut(keyed.groupBy("k1", "k2").agg(F.min("r").alias("r")).select("r.*"))
 
-    c = F.col
-    posts = sets.select(F.posexplode("prefix").alias("pos", "tok"), "doc", "line", "n", "map1", "map2")
-    posts = posts.select("tok", "doc", "line", F.shiftleft("n", 31).bitwiseOR(c("pos").cast("bigint")).alias("np"), "map1", "map2")
-    w = Window.partitionBy("tok").orderBy("doc", "line")
+    # each line against the first one that shares one of some tokens of its prefix
     names = ["doc", "line", "np", "map1", "map2"]
-    top = F.first(F.struct(*names)).over(w)
-    posts = posts.select("*", top.alias("f"), F.lead("np").over(w).alias("after"))
-    posts = posts.select("tok", *names, *(c(f"f.{x}").alias(f"f{x}") for x in names), "after")
-    is_top = (c("fdoc") == c("doc")) & (c("fline") == c("line"))
-    posts = posts.where(~is_top | c("after").isNotNull()).withColumns({"is_top": is_top, "near_top": ~is_top & may_match("", "f", t)})
-    posts = cut(posts.select("tok", *names, "is_top", "near_top", *(F.when(c("near_top"), c(x)).alias(x) for x in ("fdoc", "fline"))))
-
-    stars = cut(posts.where("near_top").select("fdoc", "fline", "doc", "line").distinct())
-    matched = cut(confirmed(stars, known, table, t))
-
-    # lines that are not matched yet, against all earlier ones but those tried
-    late = posts.where("not is_top").join(matched, ["doc", "line"], "left_anti").select(c("tok").alias("t2"), *names)
-    early = posts.select("tok", *(c(x).alias(f"f{x}") for x in names))
-    before = (c("fdoc") < c("doc")) | ((c("fdoc") == c("doc")) & (c("fline") < c("line")))
-    pairs = late.join(early, (c("t2") == c("tok")) & before & may_match("", "f", t)).select("fdoc", "fline", "doc", "line").distinct()
-    pairs = cut(pairs.join(stars, ["fdoc", "fline", "doc", "line"], "left_anti"))
-    also = cut(confirmed(pairs, known, table, t))
+    posts = postings(sets).where(F.pmod("tok", F.lit(STAR_SHARE)) == 0)
+    firsts = posts.groupBy("tok").agg(F.min(F.struct(*names)).alias("f"), F.count("*").alias("k")).where("k > 1")
+    firsts = firsts.select(c("tok").alias("ftok"), *(c(f"f.{x}").alias(f"f{x}") for x in names))
+    is_first = (c("fdoc") == c("doc")) & (c("fline") == c("line"))
+    stars = cut(posts.join(firsts, (c("tok") == c("ftok")) & ~is_first & may_match("", "f", t)).select("fdoc", "fline", "doc", "line").distinct())
+    matched = confirmed(stars, known, t)
+
+    # lines that are not matched yet against all earlier ones but those tried; both sides of the first join read one exchange
+    mark = matched.select("doc", "line", F.lit(True).alias("lost"))
+    flagged = cut(sets.join(mark, ["doc", "line"], "left"))
+    still, gone = (postings(flagged.where(x)) for x in ("lost is null", "lost"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        # both sides rename all columns: two exchanges of the same rows are one only if their plans are alike
+        return rows.select(*(c(x).alias(f"{name}{x}") for x in rows.columns))
+
+    before = (c("fdoc") < c("ldoc")) | ((c("fdoc") == c("ldoc")) & (c("fline") < c("lline")))
+    late = side(still, "l")
+    found = [late.join(side(rows, "f"), (c("ltok") == c("ftok")) & before & may_match("l", "f", t)) for rows in (still, gone)]
+    found = found[0].unionAll(found[1]).select("fdoc", "fline", c("ldoc").alias("doc"), c("lline").alias("line")).distinct()
+    pairs = cut(found.join(stars, ["fdoc", "fline", "doc", "line"], "left_anti"))
+    drop(flagged, stars)
+    also = confirmed(pairs, known, t)
+    drop(pairs)
 
     lost = matched.unionAll(also)
     return sets.select("doc", "line").join(lost, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_set("line").alias("kept"))
