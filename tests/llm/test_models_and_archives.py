@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from wavecrest.llm import embeddings, graph, language, toxicity, warc
@@ -51,6 +52,15 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    near = [[1.0, 0.01 * k, 0.0] for k in range(4)]
+    rows = [(1, near[0], 1), (1, near[1], 1), (2, near[2], 1), (3, near[3], 1), (3, [0.0, 0.0, 1.0], 1), (7, [0.0, 0.0, 2.0], 2), (None, near[0], 1)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(
+        [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 0, 3, True), (7, 0, 7, True), (None, 0, None, True)], key=repr
+    )
+
+
 PAGES = "page_id bigint, url string, html string, file string, __id string, payload string"
 
 
@@ -69,6 +79,9 @@ def test_archives(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if max(alike) == i else ("revisit", max(alike)))
     files = [r.file.removeprefix("file://") for r in manifest.collect()]
+    assert len(files) > 1 and records.rdd.getNumPartitions() == len(files)
+    busy = records.groupBy(F.input_file_name(), F.spark_partition_id()).count().count()
+    assert busy == len(files)
     whole = b"".join(gzip.decompress(open(f, "rb").read()) for f in files)
     assert whole.count(b"WARC/1.1\r\nWARC-Type: ") == len(rows) and sum(r.n_records for r in manifest.collect()) == len(rows)
     assert {r.payload for r in records.where("record_type = 'revisit'").collect()} == {b""}
@@ -96,8 +109,46 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(cases.frame(spark, cases.documents()), toxicity.fit(cases.frame(spark, cases.documents()), marks)).count() == len(cases.documents())
 
 
+def test_toxic_texts_are_found(spark):
+    sf = SF.replace("0.01", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    held = found[found.held_out]
+    assert (held.toxic == 1).sum() > 20
+    assert (held[held.toxic == 1].predicted == 1).mean() > 0.6 and (held[held.toxic == 0].predicted == 1).mean() < 0.03
+
+
 def test_network_gradient():
-    """A step against the numerical gradient: loss falls, and words of the marked texts gain weight."""
+    r = np.random.default_rng(1)
+    model = toxicity.Model(buckets=64, size=4, filters=4, seed=2)
+    for p in (*model.kernels, model.bias, model.weight, model.table[1:]):
+        p += r.normal(0, 0.5, p.shape).astype(np.float32)
+    made = toxicity.Texts(["one two three four", "five six", "seven eight nine ten eleven"], lower=True)
+    padded, starts = model.padded(*toxicity.word_rows(made, model.buckets))
+    y = np.array([1, 0, 1])
+
+    def loss():
+        top = np.maximum(np.maximum.reduceat(model.maps(padded), starts, axis=0) + model.bias, 0)
+        z = (top @ model.weight + model.offset).astype(np.float64)
+        return np.mean(np.log1p(np.exp(z)) - y * z) + 5e-5 * float((model.weight.astype(np.float64) ** 2).sum())
+
+    dense, rows, of_rows, of_offset = model.gradients(padded, starts, y)
+    table = np.zeros_like(model.table)
+    table[rows] = of_rows
+    table[toxicity.PAD] = 0
+    for p, g in zip([*model.kernels, model.bias, model.weight, model.table[1:]], [*dense, table[1:]], strict=True):
+        flat, of = p.reshape(-1), g.reshape(-1)
+        for k in r.permutation(len(flat))[:12].tolist() + np.argsort(-np.abs(of))[:6].tolist():
+            old = flat[k]
+            flat[k] = old + 1e-3
+            up = loss()
+            flat[k] = old - 1e-3
+            down = loss()
+            flat[k] = old
+            assert (up - down) / 2e-3 == pytest.approx(of[k], abs=3e-4, rel=0.02)
+
+
+def test_network_learns_a_word():
     texts = [f"fine words only {k}" if k % 2 else f"fine badword only {k}" for k in range(60)]
     model = toxicity.train(texts, [1 - k % 2 for k in range(60)], ["xx"] * 60, (30, 30))
     made = toxicity.Texts(["a badword here", "a fine word here"], lower=True)
@@ -126,6 +177,34 @@ def test_forward_backward():
     assert expected.sum() == pytest.approx(6)
 
 
+def test_field_gradient():
+    r = np.random.default_rng(4)
+    model = language.Field(["a", "b", "c"], buckets=128)
+    chains = language.Chains(["one two three", "four five", "one"])
+    model.lexicons = [np.sort(chains.words[k::3]) for k in range(3)]
+    model.weights = r.normal(0, 0.3, model.weights.shape)
+    model.of_lexicon, model.transition = r.normal(size=(3, 3)), r.normal(size=(3, 3))
+    y = np.array([0, 1, 2, 2, 0, 1])
+
+    def likelihood():
+        e, total = model.emissions(chains)[chains.which], 0.0
+        for a, b in zip(chains.first, chains.first[1:], strict=False):
+            score = lambda path, a=a: sum(e[a + t, k] for t, k in enumerate(path)) + sum(model.transition[p, q] for p, q in zip(path, path[1:], strict=False))
+            total += score(tuple(y[a:b])) - np.log(sum(np.exp(score(path)) for path in np.ndindex(*(3,) * int(b - a))))
+        return total
+
+    for p, g in zip((model.weights, model.of_lexicon, model.transition), model.gradients(chains, y), strict=True):
+        flat, of = p.reshape(-1), g.reshape(-1)
+        for k in r.permutation(len(flat))[:15].tolist() + np.argsort(-np.abs(of))[:5].tolist():
+            old = flat[k]
+            flat[k] = old + 1e-4
+            up = likelihood()
+            flat[k] = old - 1e-4
+            down = likelihood()
+            flat[k] = old
+            assert (up - down) / 2e-4 == pytest.approx(of[k], abs=1e-4)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit(docs, max_rows=60)

@@ -156,6 +156,19 @@ def test_line_dedup(spark):
     assert None in got and line_dedup.removed_lines(cases.empty(spark)).count() == 0 and line_dedup.clean_documents(cases.empty(spark)).count() == 0
 
 
+def test_alike_lines_behind_common_words(spark):
+    r = np.random.default_rng(8)
+    passage = cases.prose(1, 40)
+    word = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, 6))
+    texts = [" ".join([*(word() for _ in range(int(r.integers(0, 9)))), *passage.split()]) for _ in range(150)]
+    texts += ["the\tof and", "of the  and", "AND of\rthe", "the of and to", "to the of and in", " \x0b\x0c ", "", "a", "A ", "b"]
+    rows = [(k, t + "\n" + cases.prose(50 + k % 7, 12), "en", "s", 1) for k, t in enumerate(texts)]
+    want = brute_lines([(k, t) for k, t, *_ in rows])
+    got = line_dedup.removed_lines(cases.frame(spark, rows, 5)).collect()
+    assert all(list(x.removed) == want.get(x.doc_id, []) for x in got) and len(got) == len(rows)
+    assert sum(map(len, want.values())) > 200
+
+
 def test_mixing(spark):
     found = mixing.mix_sources(cases.frame(spark, DOCS)).collect()
     assert len(found) == len(DOCS)
@@ -187,6 +200,13 @@ def test_flow_prefers_what_needs_no_repeats():
     assert sum(sum(f.values()) for f in mixing.route([10], [[0]], [100], 3)) == 30
 
 
+def test_flow_of_many_sources_of_one_pattern_each():
+    n = 200_000
+    flow = mixing.route([10] * n + [5, 7], [[k] for k in range(n)] + [[n], [n, n + 1]], [8] * n + [6, 6], 3)
+    assert all(f == {k: 8} for k, f in enumerate(flow[:n]))
+    assert sum(f.get(n, 0) for f in flow[n:]) == 6 and sum(f.get(n + 1, 0) for f in flow[n:]) == 6
+
+
 def test_overlapping_sources(spark):
     from pyspark.sql import functions as F
 
@@ -218,6 +238,21 @@ def test_token_files(spark):
     assert token_planes.token_files(cases.empty(spark), path).count() == 0
 
 
+def test_units_give_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer, units = Tokenizer.from_file(path), token_planes.UnitEncoder(path)
+    r = np.random.default_rng(6)
+    parts = ["a", "The", " ", "  ", "\n", "\n\n", "\t", "\r", ".", ",", "!", "'s", "'ll", "’", "é", "ß", "日本", "🙂", "\u00a0", "\u2003", "\u0085", "12", "7", "-", "_", "(", "<|endoftext|>", "x" * 40, "\u0301", "\x00"]
+    texts = ["".join(parts[k] for k in r.integers(0, len(parts), int(n))) for n in r.integers(0, 30, 3000)]
+    for at in range(0, len(texts), 500):
+        ids, counts = units.encode(pa.array(texts[at : at + 500], pa.string()))
+        ends = np.cumsum(counts)
+        for t, a, b in zip(texts[at : at + 500], [0, *ends], ends, strict=False):
+            assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_any_range_of_ids(tmp_path):
     out = token_planes.PlaneWriter(open(tmp_path / "x", "wb"), block=64)
     ids = np.arange(1000, dtype=np.uint32) * 7 % 511
@@ -243,6 +278,17 @@ def test_pieces(spark):
     assert pieces.round_trip(cases.empty(spark), model).count() == 0
 
 
+def test_segmentations_do_not_depend_on_what_is_kept():
+    made = pieces.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    texts = [cases.prose(k, 200) + "x" * (300 * (k % 3)) for k in range(40)]
+    row_keys = pieces.mix(np.arange(40, dtype=np.uint64))
+    want = pieces.Sampler(made, 1).encode(pa.array(texts), row_keys)[0].tolist()
+    small = pieces.Sampler(made, 1, max_edges=500)
+    small.LEARN_BYTES = 64
+    got = [small.encode(pa.array(texts[k : k + 1]), row_keys[k : k + 1])[0].tolist() for k in range(40)]
+    assert sum(got, []) == want
+
+
 def test_draws_follow_the_weights():
     made = pieces.Pieces(tokenizer_path("piece_bpe_32k.model"))
     n = 20_000

@@ -129,41 +129,40 @@ class Field:
         """(words, labels)"""
         return forward_backward(self.emissions(chains)[chains.which].astype(np.float64), self.transition, chains.first)[0]
 
+    def gradients(self, chains: Chains, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the log likelihood of labels y: by weights, by lexicon weights and by transitions."""
+        k = len(self.languages)
+        emission = self.emissions(chains)[chains.which].astype(np.float64)
+        gamma, expected = forward_backward(emission, self.transition, chains.first)
+        error = -gamma
+        error[np.arange(len(y)), y] += 1
+        inner = np.ones(len(y), bool)
+        inner[chains.first[:-1]] = False
+        to = np.flatnonzero(inner)
+        counted = np.zeros((k, k))
+        np.add.at(counted, (y[to - 1], y[to]), 1)
+        by_word = np.stack([np.bincount(chains.which, weights=error[:, j], minlength=len(chains.words)) for j in range(k)], axis=1)[chains.order]
+        whole, grams, word = word_features(chains, self.buckets)
+        rows = np.concatenate([whole.reshape(-1), grams])
+        source = np.concatenate([np.repeat(np.arange(len(whole)), whole.shape[1]), word])
+        of_weights = np.stack([np.bincount(rows, weights=by_word[source, j], minlength=self.buckets) for j in range(k)], axis=1)
+        return of_weights, self.in_lexicon(chains).T @ by_word, counted - expected
+
     def fit(self, lines: list[tuple[str, np.ndarray]], epochs: int = 4, batch: int = 400, rate: float = 0.3, decay: float = 1e-6) -> None:
         """lines: text without line feeds, and the label of each of its words."""
-        seen = np.full_like(self.weights, 1e-2)
-        seen_l, seen_t = np.full_like(self.of_lexicon, 1e-2), np.full_like(self.transition, 1e-2)
+        held = [self.weights, self.of_lexicon, self.transition]
+        seen = [np.full_like(p, 1e-2) for p in held]
         r = np.random.default_rng(1)
-        k = len(self.languages)
         for _ in range(epochs):
             order = r.permutation(len(lines))
             for at in range(0, len(order), batch):
                 chosen = [lines[i] for i in order[at : at + batch]]
-                chains = Chains([text for text, _ in chosen])
-                y = np.concatenate([labels for _, labels in chosen])
-                emission = self.emissions(chains)[chains.which].astype(np.float64)
-                gamma, expected = forward_backward(emission, self.transition, chains.first)
-                error = -gamma
-                error[np.arange(len(y)), y] += 1
-                inner = np.ones(len(y), bool)
-                inner[chains.first[:-1]] = False
-                to = np.flatnonzero(inner)
-                counted = np.zeros((k, k))
-                np.add.at(counted, (y[to - 1], y[to]), 1)
-                by_word = np.stack([np.bincount(chains.which, weights=error[:, j], minlength=len(chains.words)) for j in range(k)], axis=1)[chains.order]
-                whole, grams, word = word_features(chains, self.buckets)
-                rows = np.concatenate([whole.reshape(-1), grams])
-                source = np.concatenate([np.repeat(np.arange(len(whole)), whole.shape[1]), word])
-                g = np.stack([np.bincount(rows, weights=by_word[source, j], minlength=self.buckets) for j in range(k)], axis=1) / len(chosen)
-                seen += g * g
-                self.weights += (rate * g / np.sqrt(seen)).astype(np.float32)
+                grads = self.gradients(Chains([text for text, _ in chosen]), np.concatenate([labels for _, labels in chosen]))
+                for p, g, s in zip(held, grads, seen, strict=True):
+                    g = g / len(chosen)
+                    s += g * g
+                    p += (rate * g / np.sqrt(s)).astype(p.dtype)
                 self.weights *= 1 - decay
-                g = self.in_lexicon(chains).T @ by_word / len(chosen)
-                seen_l += g * g
-                self.of_lexicon += rate * g / np.sqrt(seen_l)
-                g = (counted - expected) / len(chosen)
-                seen_t += g * g
-                self.transition += rate * g / np.sqrt(seen_t)
 
 
 def train(texts: list[str], labels: list[str], lexicon_size: int = 2000, seed: int = 2, **options) -> Field:
@@ -205,12 +204,11 @@ def train(texts: list[str], labels: list[str], lexicon_size: int = 2000, seed: i
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, out_fold: int = 2, max_rows: int = 300, max_languages: int = 500, **options) -> Field | None:
     """A field learned from texts and non-null languages of docs outside fold ``out_fold`` (crc32 of the id as text, modulo
-    ``folds``): of each language about ``max_rows`` texts, the bound of the sample. None if there are none."""
+    ``folds``): of each language about ``max_rows`` texts, the bound of the sample. None if there are none. The ``max_languages`` languages of
+    the most texts are learned, the bound of the model's size; others are never predicted."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
     rows = rows.where(F.col("__lang").isNotNull() & F.col("__id").isNotNull() & F.col("__text").isNotNull() & (fold(F.col("__id"), folds) != out_fold))
-    counts = {r[0]: r[1] for r in rows.groupBy("__lang").count().limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    counts = {r[0]: r[1] for r in rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(max_languages).collect()}
     if not counts:
         return None
     whole = 1 << 40

@@ -12,6 +12,7 @@ ranges of that range narrow it down, and only documents of this 65,536th part of
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -59,7 +60,15 @@ def route(capacity: list[int], member_of: list[list[int]], quotas: list[int], pa
     """Min-cost flow from patterns to quotas: words that pattern p gives to source s, by successive shortest paths.
 
     The k-th pass over a pattern's words costs 2k - 1 a word, so that n passes cost n squared. Fills the quotas as far as
-    capacities and memberships allow."""
+    capacities and memberships allow. A pattern of one source that no other pattern has can only give to that one, so the search is over
+    the patterns of overlapping sources."""
+    use = Counter(s for mine in member_of for s in mine)
+    alone = [len(mine) == 1 and use[mine[0]] == 1 for mine in member_of]
+    if any(alone):
+        rest = [p for p, a in enumerate(alone) if not a]
+        found = iter(route([capacity[p] for p in rest], [member_of[p] for p in rest], quotas, passes) if rest else [])
+        given = [min(quotas[mine[0]], passes * c) if a else 0 for a, mine, c in zip(alone, member_of, capacity, strict=True)]
+        return [({member_of[p][0]: g} if g else {}) if alone[p] else next(found) for p, g in enumerate(given)]
     n, m = len(capacity), len(quotas)
     start, end = n + m, n + m + 1
     graph: list[list[list]] = [[] for _ in range(n + m + 2)]  # arcs: to, capacity, cost, place of the reverse arc
@@ -132,8 +141,8 @@ def mix_sources(
     What a pattern gives differs from the flow by at most half a document.
 
     Null and empty texts have size 0 and take 0. An empty or null array of sources takes part in nothing. Repeated rows are chosen one
-    by one. Reruns agree: the choice is by a hash of id and seed, ties by id and size. Other columns are ignored. Raises ValueError
-    for more than max_patterns patterns, since the flow over them is solved in one place.
+    by one. Reruns agree: the choice is by a hash of id and seed, ties by id and size. Other columns are ignored. The sums by pattern, a
+    row each, are solved in one place; raises ValueError for more than max_patterns patterns of overlapping sources, whose flow is a search.
     """
     sources = F.array("source") if sources is None else sources
     key = F.to_json(F.array_sort(F.array_distinct(sources.cast("array<string>"))), {"ignoreNullFields": "false"})
@@ -143,9 +152,10 @@ def mix_sources(
     rows = rows.withColumns({"__b1": F.shiftrightunsigned("__h", 56), "__b2": F.shiftrightunsigned("__h", 48).bitwiseAND(255)})
 
     sums = rows.groupBy("__pattern").agg(F.sum("__size").alias("size")).select("__pattern", "size", F.from_json("__pattern", "array<string>").alias("members"))
-    found = sorted(sums.limit(max_patterns + 1).collect(), key=lambda r: r[0])
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns of sources")
+    found = sorted(sums.collect(), key=lambda r: r[0])
+    use = Counter(s for r in found for s in r["members"])
+    if sum(len(r["members"]) > 1 or any(use[s] > 1 for s in r["members"]) for r in found) > max_patterns:
+        raise ValueError(f"more than {max_patterns} patterns of overlapping sources")
     names = sorted({s for r in found for s in r["members"]}, key=lambda s: (s is None, s or ""))
     place = {s: i for i, s in enumerate(names)}
     sizes = [0] * len(names)
