@@ -119,13 +119,13 @@ s AS (SELECT frame_no, lag, round(-CASE WHEN dot > 0 THEN dot * dot ELSE 0 END /
 SELECT frame_no, rank, lag, round(-s, 6) AS score FROM r WHERE rank < 2"""
 
 
-def seek_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seek_table(spark: SparkSession, sf_dir: str, parts: int = 10) -> DataFrame:
     """A table of contents of each channel: for every tenth part of its blocks, 256ths of its bytes before that block. A block of up
     to 8 samples takes 20 bytes and one more for each whole hundred of its sum."""
     b = channels(spark, sf_dir).groupBy("channel", F.floor(F.col("i") / 8).alias("block")).agg((20 + F.floor(F.sum("x") / 100)).alias("bytes"))
     w = Window.partitionBy("channel")
     b = b.withColumns({"before": F.sum("bytes").over(w.orderBy("block")) - F.col("bytes"), "all": F.sum("bytes").over(w), "n": F.count("*").over(w)})
-    at = b.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(9)))).where(F.floor(F.col("p") * F.col("n") / 10) == F.col("block"))
+    at = b.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where(F.floor(F.col("p") * F.col("n") / parts) == F.col("block"))
     return at.select("channel", F.col("p").cast("bigint").alias("part"), F.least(F.floor(F.col("before") * 256 / F.col("all")), F.lit(255)).alias("entry"))
 
 
@@ -134,6 +134,14 @@ s AS (SELECT *, sum(bytes) OVER (PARTITION BY channel ORDER BY block) - bytes AS
 SELECT channel, p AS part, CAST(least(before * 256 // al, 255) AS BIGINT) AS entry FROM s, range(0, 10) t(p) WHERE (p * n) // 10 = block"""
 
 
+def seek_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``seek_table`` gives, for every hundredth part."""
+    return seek_table(spark, sf_dir, 100)
+
+
+ORACLES["seek_points"] = ORACLES["seek_table"].replace("range(0, 10)", "range(0, 100)").replace("(p * n) // 10 ", "(p * n) // 100 ")
+
+
 def i0(x: Column) -> Column:
     """The modified Bessel function of order 0, from 25 terms of its series."""
     start = F.struct(S.lit(1).alias("term"), S.lit(1).alias("sum"))
@@ -165,4 +173,4 @@ def bessel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["bessel_samples"] = f"""WITH {FRAMES_SQL}, t AS (SELECT k, CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS fk FROM range(0, 26) r(k)), b AS (SELECT frame_no, i, sum(pow(pow(4 * abs(greatest(least(x, 1.0), -1.0)), k) / fk, 2)) AS b FROM f, t GROUP BY 1, 2)
 SELECT frame_no, i, round(b, 6) AS i0, round(b / (SELECT sum(pow(pow(4, k) / fk, 2)) FROM t), 8) AS weight FROM b"""
 
-QUERIES = {f.__name__: f for f in (fixed_point, checksums, generator, argsort, spacing_repair, slope_ladder, top_lags, seek_table, bessel, bessel_samples)}
+QUERIES = {f.__name__: f for f in (fixed_point, checksums, generator, argsort, spacing_repair, slope_ladder, top_lags, seek_table, seek_points, bessel, bessel_samples)}

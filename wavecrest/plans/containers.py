@@ -195,4 +195,87 @@ def concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["concatenated"] = "SELECT conv_id, turn, CAST(sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn) - coalesce(length(text), 0) AS BIGINT) AS start, CAST(sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id) AS BIGINT) AS length FROM conversations"
 
-QUERIES = {f.__name__: f for f in (edit_list, last_block, channel_map, first_stream, leading_samples, stream_totals, raw_samples, text_checksums, stream_info, packet_heads, float_fields, utf8_numbers, concatenated)}
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id and its number spread over 32 bits."""
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 2654435761).bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
+
+
+def bit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of 3, 5, 11 and 13 bits of a word, read from its highest bit down, and from its lowest up; how many bits are set, and the word's highest."""
+    widths, high, low = (3, 5, 11, 13), [], []
+    for k, w in enumerate(widths):
+        mask = F.lit((1 << w) - 1)
+        high.append(F.shiftright("v", sum(widths[k + 1 :])).bitwiseAND(mask).alias(f"high{k}"))
+        low.append(F.shiftright("v", sum(widths[:k])).bitwiseAND(mask).alias(f"low{k}"))
+    return spread(spark, sf_dir).select("event_id", *high, *low, F.bit_count("v").cast("bigint").alias("ones"), F.getbit("v", F.lit(31)).cast("bigint").alias("top"))
+
+
+ORACLES["bit_fields"] = """WITH v AS (SELECT event_id, (event_id * 2654435761) & 4294967295 AS v FROM events)
+SELECT event_id, v // 536870912 AS high0, v // 16777216 % 32 AS high1, v // 8192 % 2048 AS high2, v % 8192 AS high3, v % 8 AS low0, v // 8 % 32 AS low1, v // 256 % 2048 AS low2, v // 524288 AS low3, CAST(bit_count(v) AS BIGINT) AS ones, v // 2147483648 AS top FROM v"""
+
+
+def version_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of three parts packed as major, minor and patch of 16, 8 and 8 bits, in order of the packed number, and unpacked again; by version, how many events."""
+    major, minor, patch = F.pmod("event_id", F.lit(5)), F.pmod("event_id", F.lit(11)), F.pmod("event_id", F.lit(3))
+    packed = F.shiftleft(major, 16).bitwiseOR(F.shiftleft(minor, 8)).bitwiseOR(patch)
+    n = table(spark, sf_dir, "events").groupBy(packed.alias("packed")).agg(F.count("*").alias("n"))
+    parts = [F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255))]
+    return n.select("packed", F.concat_ws(".", *parts).alias("version"), "n")
+
+
+ORACLES["version_numbers"] = "SELECT (event_id % 5) * 65536 + (event_id % 11) * 256 + event_id % 3 AS packed, (event_id % 5) || '.' || (event_id % 11) || '.' || (event_id % 3) AS version, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+def reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as 8 short windows one behind the other, put in order of bin and window, and the place that each sample came from."""
+    n = F.floor(F.size("x") / 8).cast("int")
+    source = lambda i: F.pmod(i, F.lit(8)) * n + F.floor(i / 8).cast("int")
+    out = F.transform(F.sequence(F.lit(0), 8 * n - 1), lambda i: F.struct(source(i).cast("bigint").alias("source"), F.get("x", source(i)).alias("x")))
+    f = frames(spark, sf_dir).where(F.size("x") >= 8).select("frame_no", F.posexplode(out).alias("i", "s"))
+    return f.select("frame_no", F.col("i").cast("bigint").alias("i"), "s.source", F.round("s.x", 6).alias("x"))
+
+
+ORACLES["reordered"] = f"""WITH {FRAMES_SQL}, n AS (SELECT frame_no, count(*) // 8 AS n FROM f GROUP BY 1)
+SELECT frame_no, i % n * 8 + i // n AS i, i AS source, round(x, 6) AS x FROM f JOIN n USING (frame_no) WHERE i < 8 * n"""
+
+
+def nearest_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of an ascending table, here of the squares to 22 * 22, nearest to each event's whole value; of two as near the lower. By entry, how many and how far."""
+    entries = F.array(*[F.lit(k * k) for k in range(23)])
+    v = F.round("value").cast("int")
+    above = F.least(F.ceil(F.sqrt(F.greatest(v, F.lit(0)).cast("double"))).cast("int"), F.lit(22))
+    high, low = F.get(entries, above), F.get(entries, F.greatest(above - 1, F.lit(0)))
+    near = F.when(v - low <= high - v, low).otherwise(high)
+    e = table(spark, sf_dir, "events").where("value is not null").select(near.cast("bigint").alias("entry"), F.abs(v - near).cast("bigint").alias("off"))
+    return e.groupBy("entry").agg(F.count("*").alias("n"), F.sum("off").alias("off"))
+
+
+ORACLES["nearest_entry"] = """WITH e AS (SELECT event_id, CAST(round(value) AS BIGINT) AS v FROM events WHERE value IS NOT NULL), n AS (SELECT v, k * k AS entry, abs(v - k * k) AS off FROM e, range(0, 23) t(k) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(v - k * k), k) = 1)
+SELECT entry, count(*) AS n, CAST(sum(off) AS BIGINT) AS off FROM n GROUP BY 1"""
+
+# What the codes in a lossless frame's header stand for; 0 means as the stream says.
+BLOCK_CODES = [(1, 192), (2, 576), (3, 1152), (4, 2304), (5, 4608), (8, 256), (9, 512), (10, 1024), (11, 2048), (12, 4096), (13, 8192), (14, 16384), (15, 32768)]
+RATE_CODES = [(1, 88200), (2, 176400), (3, 192000), (4, 8000), (5, 16000), (6, 22050), (7, 24000), (8, 32000), (9, 44100), (10, 48000), (11, 96000)]
+DEPTH_CODES = [(1, 8), (2, 12), (4, 16), (5, 20), (6, 24)]
+
+
+def frame_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of a lossless frame's header in bytes 3 and 4 of each turn of a conversation, looked up in tables: samples of a block, rate, channels, bits; null for
+    codes that stand for no fixed value."""
+    t = table(spark, sf_dir, "conversations").where("octet_length(text) >= 4").select("conv_id", "turn", F.col("text").cast("binary").alias("d"))
+    two, three = byte_at(F.col("d"), 2), byte_at(F.col("d"), 3)
+    mode = F.shiftright(three, 4)
+    t = t.select("conv_id", "turn", F.shiftright(two, 4).alias("b"), two.bitwiseAND(F.lit(15)).alias("r"), F.shiftright(three, 1).bitwiseAND(F.lit(7)).alias("p"), F.when(mode <= 7, mode + 1).when(mode <= 10, 2).alias("channels"))
+    for code, name, pairs_ in (("b", "block", BLOCK_CODES), ("r", "rate", RATE_CODES), ("p", "bits", DEPTH_CODES)):
+        t = t.join(F.broadcast(spark.createDataFrame(pairs_, f"{code} bigint, {name} bigint")), code, "left")
+    return t.select("conv_id", "turn", "block", "rate", "channels", "bits")
+
+
+def _case(code: str, pairs_: list[tuple[int, int]]) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN {k} THEN {v}" for k, v in pairs_) + " END"
+
+
+ORACLES["frame_heads"] = f"""WITH h AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations WHERE octet_length(encode(text)) >= 4), b AS (SELECT conv_id, turn, CAST('0x' || substr(h, 5, 2) AS BIGINT) AS x, CAST('0x' || substr(h, 7, 2) AS BIGINT) AS y FROM h)
+SELECT conv_id, turn, CAST({_case('x // 16', BLOCK_CODES)} AS BIGINT) AS block, CAST({_case('x % 16', RATE_CODES)} AS BIGINT) AS rate, CASE WHEN y // 16 <= 7 THEN y // 16 + 1 WHEN y // 16 <= 10 THEN 2 END AS channels, CAST({_case('y // 2 % 8', DEPTH_CODES)} AS BIGINT) AS bits FROM b"""
+
+QUERIES = {f.__name__: f for f in (bit_fields, version_numbers, reordered, nearest_entry, frame_heads, edit_list, last_block, channel_map, first_stream, leading_samples, stream_totals, raw_samples, text_checksums, stream_info, packet_heads, float_fields, utf8_numbers, concatenated)}

@@ -79,6 +79,15 @@ FROM h c LEFT JOIN h b ON b.odd = 0 AND b.label % 5 <> 0 AND b.label = c.label A
 SELECT key, snr, d_snr, nmr, d_nmr, audible, d_audible, CASE WHEN fresh THEN 'NEW' WHEN d_snr < -0.3 OR d_nmr > 0.5 OR d_audible > 1.0 THEN 'FAIL' ELSE 'ok' END AS verdict FROM d"""
 
 
+def mask_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search of scale factors lessens: the sum over a frame's bands of noise over mask, by depth."""
+    n = noise_ratios(spark, sf_dir).groupBy("frame_no", "bits")
+    return n.agg(F.round(F.sum(F.pow(S.lit(10), F.col("nmr") / 10)), 6).alias("cost"))
+
+
+ORACLES["mask_cost"] = f"""WITH {MEASURED_SQL} SELECT ba.frame_no, ba.bits, round(sum((n + 1e-12) / (mask + 1e-12)), 6) AS cost FROM ba JOIN ma ON ma.frame_no = ba.frame_no AND ma.bits = ba.bits AND ma.band = ba.band GROUP BY 1, 2"""
+
+
 def transient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energies of first differences of a frame at the scale of 16 bits, in 8 sub-blocks, against a baseline that rises at once and falls slowly
     (0.7 of it and 0.3 of the energy): an attack is the first one over 8 times the baseline and over a million. Its sub-block, or 0."""
@@ -192,4 +201,4 @@ def cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["cutoffs"] = """WITH e AS (SELECT CAST(round(value * 250) AS BIGINT) AS b FROM events), c AS (SELECT b, CASE WHEN b >= 96000 THEN 20000 WHEN b >= 64000 THEN 16000 WHEN b >= 48000 THEN 14000 WHEN b >= 32000 THEN 12000 ELSE b * 0.375 END AS hz FROM e)
 SELECT round(CAST(hz AS DOUBLE), 3) AS cutoff_hz, count(*) AS n, min(b) AS least_bits FROM c GROUP BY 1"""
 
-QUERIES = {f.__name__: f for f in (league_by_mask, gate_by_metrics, transient, block_kinds, resample_kaiser, legal_config, cutoffs)}
+QUERIES = {f.__name__: f for f in (league_by_mask, gate_by_metrics, mask_cost, transient, block_kinds, resample_kaiser, legal_config, cutoffs)}
