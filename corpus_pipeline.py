@@ -2,6 +2,9 @@
 
 Toxic documents go; of alike lines only the first stays; of each group of near copies one document stays; sources are mixed to their
 weights, whole documents as often as the mix takes them; texts are cut into sampled pieces.
+
+Every stage gives an empty table for an empty one, and keeps other columns than those it works on as they are. Null texts are not toxic, have no
+lines to lose, are linked with nothing, weigh nothing in the mix (which takes them like others of their source) and have no pieces.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from wavecrest.llm.shared import column_name, cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold of their guessed language."""
+    """Documents whose score is below the threshold of their guessed language. Repeated rows are scored one by one; without labelled rows
+    nothing is learned and no document goes."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=docs.columns).where("__score < 0.5").drop("__score")
 
