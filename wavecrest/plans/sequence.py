@@ -173,6 +173,36 @@ k AS (SELECT *, r1 / r0 AS k1, r0 * (1 - pow(r1 / r0, 2)) AS e1 FROM r), l AS (S
 SELECT frame_no, round(k1 - k2 * k1, 5) AS a1, round(k2, 5) AS a2, round(10 * log10(r0 / (e1 * (1 - k2 * k2) + 1e-12)), 4) AS gain_db FROM l"""
 
 
+def levinson_orders(spark: SparkSession, sf_dir: str, order: int = 8) -> DataFrame:
+    """Linear prediction of an order by Levinson's recursion over the autocorrelation, by an ordered fold in the row: coefficients and gain in dB."""
+    def r(k: Column) -> Column:
+        return S.total(F.transform("x", lambda v, i: v * F.coalesce(F.get("x", i + k), S.lit(0))))
+
+    f = frames(spark, sf_dir).select("frame_no", F.transform(F.sequence(F.lit(0), F.lit(order)), r).alias("r")).where(F.get("r", F.lit(0)) > 1e-9)
+    lag = lambda i: F.get("r", i)
+
+    def step(s: Column, i: Column) -> Column:
+        reflection = (lag(i) - S.total(F.transform(s["a"], lambda x, j: x * lag(i - 1 - j)))) / (s["e"] + 1e-12)
+
+        def grown(k: Column) -> Column:
+            a = F.concat(F.transform(s["a"], lambda x, j: x - k * F.get(s["a"], i - 2 - j)), F.array(k))
+            return F.struct(a.alias("a"), (s["e"] * (1 - k * k)).alias("e"))
+
+        return S.let(reflection, grown)
+
+    start = F.struct(F.array().cast("array<double>").alias("a"), lag(F.lit(0)).alias("e"))
+    f = f.select("frame_no", lag(F.lit(0)).alias("r0"), F.reduce(F.sequence(F.lit(1), F.lit(order)), start, step).alias("s"))
+    out = f.select("frame_no", F.posexplode("s.a").alias("k", "a"), S.db(F.col("r0") / (F.col("s.e") + 1e-12)).alias("g"))
+    return out.select("frame_no", (F.col("k") + 1).cast("bigint").alias("k"), F.round("a", 5).alias("a"), F.round("g", 4).alias("gain_db"))
+
+
+ORACLES["levinson_orders"] = f"""WITH RECURSIVE {FRAMES_SQL}, g AS (SELECT a.frame_no, k, coalesce(sum(a.x * b.x), 0) AS r FROM f a CROSS JOIN range(0, 9) t(k) LEFT JOIN f b ON b.frame_no = a.frame_no AND b.i = a.i + k GROUP BY 1, 2),
+r AS (SELECT frame_no, list(r ORDER BY k) AS r FROM g GROUP BY 1 HAVING list(r ORDER BY k)[1] > 1e-9),
+l AS (SELECT frame_no, r, CAST(0 AS BIGINT) AS i, CAST([] AS DOUBLE[]) AS a, r[1] AS e FROM r UNION ALL SELECT frame_no, r, i + 1, list_append(list_transform(a, lambda x, j: x - k * a[i + 1 - j]), k), e * (1 - k * k)
+FROM (SELECT *, (r[i + 2] - coalesce(list_sum(list_transform(a, lambda x, j: x * r[i + 2 - j])), 0)) / (e + 1e-12) AS k FROM l WHERE i < 8))
+SELECT frame_no, unnest(range(1, 9)) AS k, round(unnest(a), 5) AS a, round(10 * log10(r[1] / (e + 1e-12)), 4) AS gain_db FROM l WHERE i = 8"""
+
+
 def ema(spark: SparkSession, sf_dir: str, keep: float = 0.8) -> DataFrame:
     """Exponential mean along a frame, y = keep y + (1 - keep) x from the first sample on, by an ordered fold in the row; its last value."""
     first = F.get("x", F.lit(0))
@@ -235,4 +265,4 @@ def loss_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["loss_gap"] = f"""WITH {CHANNELS_SQL}, g AS (SELECT channel, i, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS gap, epoch_us(lead(ts, 2) OVER w) - epoch_us(lead(ts) OVER w) AS nxt FROM c WINDOW w AS (PARTITION BY channel ORDER BY i))
 SELECT channel, i, gap // 3600000000 AS hours, coalesce(nxt <= 3600000000, false) AS recovers FROM g WHERE gap > 86400000000"""
 
-QUERIES = {f.__name__: f for f in (diff_predict, diff_restore, zigzag, rice_param, attack, stationarity, overlap_add, resample_2to3, lag_autocorr, levinson, ema, hysteresis, granule, padding, loss_gap)}
+QUERIES = {f.__name__: f for f in (diff_predict, diff_restore, zigzag, rice_param, attack, stationarity, overlap_add, resample_2to3, lag_autocorr, levinson, levinson_orders, ema, hysteresis, granule, padding, loss_gap)}
