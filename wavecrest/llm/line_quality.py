@@ -6,7 +6,8 @@ host's limit are taken out of the texts, and documents that are depleted by this
 Scale: one row per distinct line of a document is shuffled, as (host, hash, document); counts are partially aggregated, and
 so a line that a third of all documents share is summed before the shuffle. Frequent lines, of which there are
 less than a tenth of the lines of all documents, are joined back with a plain equi-join, which adaptive execution may split or broadcast by size.
-Each document's frequent hashes are then joined to its text, which is read once more and rebuilt without these lines.
+Each document's frequent hashes are then joined to its text, which is rebuilt without these lines; only texts that may hold such a line, as a
+table of bits of fixed size tells, are shuffled for it, the others are read where they lie.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavecrest.llm.shared import cut, drop, maybe_in
 from wavecrest.llm.words import SPACE, Texts, Words, chunks, mix
 
 SYMBOLS = np.zeros(256, bool)
@@ -172,17 +174,21 @@ def clean_texts(
     # rows with a null id are told apart by their text
     tie = F.when(row.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint"))
     rows = docs.select(row.alias("__row"), text.alias("__text"), F.col(host_col).cast("string").alias("__host"), tie.alias("__tie"))
-    lines = rows.mapInArrow(line_hashes, LINES)
+    lines = cut(rows.mapInArrow(line_hashes, LINES))
 
     counted = lines.groupBy("__host", "h", "__row").agg(F.lit(1)).groupBy(F.col("__host").alias("host"), "h").agg(F.count("*").alias("n"))
     frequent = counted.where(F.col("n") > max_docs).select(F.col("host").alias("fhost"), F.col("h").alias("fh"))
-    held = (
+    held = cut(
         lines.join(frequent, F.col("__host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh")))
         .groupBy(F.col("__row").alias("row"), F.col("__host").alias("host"), F.col("__tie").alias("tie"))
         .agg(F.collect_set("h").alias("__frequent"))
     )
+    drop(lines)
+    may_hold = maybe_in(held.select(F.xxhash64("row", "host", "tie").alias("key")))(F.xxhash64("__row", "__host", "__tie"))
     same = F.col("__row").eqNullSafe(F.col("row")) & F.col("__host").eqNullSafe(F.col("host")) & (F.col("__tie") == F.col("tie"))
-    found = rows.join(held, same, "left").select("__row", "__text", "__frequent").mapInArrow(lambda batches: features(batches, window), FEATURES)
+    with_lines = rows.where(may_hold).join(held, same, "left").select("__row", "__text", "__frequent")
+    without = rows.where(~may_hold).select("__row", "__text", F.lit(None).cast("array<bigint>").alias("__frequent"))
+    found = with_lines.unionAll(without).mapInArrow(lambda batches: features(batches, window), FEATURES)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("lost_words")
     depleted = (F.col("lost_words") > 0) & ((F.col("lost_words") > max_lost * F.col("n_words")) | (left < min_words))
