@@ -36,12 +36,16 @@ def test_stages(spark):
 
 
 def test_edge_cases_run_through(spark):
-    for docs in (cases.frame(spark, cases.documents()), cases.empty(spark)):
+    nulls = sum(r[1] is None for r in cases.documents())
+    for docs, empty in ((cases.frame(spark, cases.documents()), False), (cases.empty(spark), True)):
         columns = docs.columns
         for name, stage in corpus_pipeline.STAGES:
             docs = cut(stage(spark, docs, SF))
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert docs.columns == columns
+            assert (docs.count() == 0) == empty
+            if not empty and name in ("toxicity", "line dedup"):
+                assert docs.where("text is null").count() == nulls > 0
 
 
 def test_near_copies_from_080(spark):

@@ -9,7 +9,8 @@ Scale: equal sets are folded into their first line before anything is joined, wi
 ``BUCKETS`` summed counts, of fixed size whatever the text, so no join back to all tokens is needed; any order gives exact results, and a good
 one only fewer candidates. Each line is first tried against the first line that shares one of some tokens, and a line once matched
 is removed whatever else it matches, so a group of thousands of alike lines isn't paired with itself. What is left is open; open lines'
-prefixes are exchanged once and joined with themselves, then with those of the matched lines. Tables that nothing reads any more are dropped.
+prefixes are exchanged once and joined with themselves, then with those of the matched lines. Lists of lines and texts are joined by sorting, whatever their
+size, so that a plan that is right for some lines is the plan for all. Tables that nothing reads any more are dropped.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.llm.shared import column_name, cut, drop
+from wavecrest.llm.shared import column_name, cut, drop, maybe_in
 
 BLANKS = " \t\x0b\x0c\r"
 BUCKETS = 1 << 18
@@ -25,8 +26,6 @@ BUCKETS = 1 << 18
 HASH = (1 << 56) - 1
 #: One in so many tokens, by its hash and so in every line alike, is tried for a first line.
 STAR_SHARE = 3
-#: Bits of the table that tells which texts may be needed again.
-DOC_BITS = 1 << 20
 
 
 def plain(text: Column) -> Column:
@@ -99,28 +98,17 @@ def may_match(a: str, b: str, t: float) -> Column:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc, line and set (hashes) of the lines named in wanted (doc, line)."""
     listed = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    rows = docs.join(listed, "doc").select("doc", "lines", F.split(plain(F.col("text")), "\n").alias("all"))
+    rows = docs.join(listed.hint("merge"), "doc").select("doc", "lines", F.split(plain(F.col("text")), "\n").alias("all"))
     rows = rows.select("doc", F.inline(F.transform("lines", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("one")))))
     return rows.where("one is not null").select("doc", "line", hashed(F.split("one", " ")).alias("set"))
 
 
-def may_be_among(ids: DataFrame) -> Column:
-    """A condition on doc: whether it may be among ids (column doc), by a table of DOC_BITS bits. It spares the join that follows most texts
-    that aren't needed; with many more ids than bits it spares less, never wrongly."""
-    bit = lambda p: F.call_function("shiftleft", F.lit(1), F.pmod(p, F.lit(8)).cast("int"))
-    place = F.pmod(F.xxhash64("doc"), F.lit(DOC_BITS))
-    table = bytearray(DOC_BITS // 8)
-    for at, byte in ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 8).alias("at")).agg(F.bit_or(bit(F.col("p")))).collect():
-        table[at] = byte
-    one = F.substring(F.lit(bytes(table)), F.floor(place / 8).cast("int") + 1, F.lit(1))
-    return F.conv(F.hex(one), 16, 10).cast("int").bitwiseAND(bit(place)) != 0
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """(doc, line) of the later lines of pairs (fdoc, fline, doc, line) that are similar indeed."""
     first = pairs.select(F.col("fdoc").alias("doc"), F.col("fline").alias("line"))
     wanted = cut(first.unionAll(pairs.select("doc", "line")).distinct())
-    sets = cut(sets_of(docs.where(may_be_among(wanted)), wanted))
+    needed_docs = maybe_in(wanted.select(F.xxhash64("doc").alias("key")))
+    sets = cut(sets_of(docs.where(needed_docs(F.xxhash64("doc"))), wanted))
     drop(wanted)
     x = pairs.join(sets.withColumnRenamed("set", "y"), ["doc", "line"])
     x = x.join(sets.select(F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.col("set").alias("x")), ["fdoc", "fline"])
@@ -169,7 +157,7 @@ def standing_lines(docs: DataFrame, threshold: float) -> DataFrame:
 
     # lines that are not matched yet against all earlier ones but those tried; both sides of the first join read one exchange
     mark = matched.select("doc", "line", F.lit(True).alias("lost"))
-    flagged = cut(sets.join(mark, ["doc", "line"], "left"))
+    flagged = cut(sets.join(mark.hint("merge"), ["doc", "line"], "left"))
     still, gone = (postings(flagged.where(x)) for x in ("lost is null", "lost"))
 
     def side(rows: DataFrame, name: str) -> DataFrame:

@@ -79,18 +79,29 @@ class Pieces:
 
 
 class Sampler:
-    def __init__(self, pieces: Pieces, seed: int = 0, max_edges: int = 3_000_000):
+    """Draws segmentations. Lattices of units met so far are kept in arrays made once. Above ``max_edges`` edges all are forgotten before
+    the next texts; the arrays have room for the new units of some texts beyond that, and grow only for a text that has more of them."""
+
+    #: Bytes of new units whose lattices are built at once; a longer unit is built alone.
+    LEARN_BYTES = 1 << 16
+
+    def __init__(self, pieces: Pieces, seed: int = 0, max_edges: int = 1_500_000):
         self.pieces, self.seed, self.max_edges = pieces, seed, max_edges
+        self.reach = np.zeros(0, np.uint64)
         self._clear()
 
+    def _room(self, edges: int) -> None:
+        # edges in order of the state that they lead to: 2**32 * state + cumulative probability; the state they come from, or -1 if it is a start; piece
+        self.reach = np.zeros(edges, np.uint64)
+        self.source = np.zeros(edges, np.int32)
+        self.token = np.zeros(edges, np.int32)
+
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted hashes of units, and the end state of each
         self.end_of = np.zeros(0, np.int64)
-        self.states = 0
-        # edges in order of the state that they lead to: state + cumulative probability; the state they come from, or -1 if it is a start; piece
-        self.reach = np.zeros(0, np.float64)
-        self.source = np.zeros(0, np.int64)
-        self.token = np.zeros(0, np.int32)
+        self.states = self.edges = 0
+        if len(self.reach) != self.max_edges * 5 // 4:
+            self._room(self.max_edges * 5 // 4)
 
     def units(self, texts: Texts) -> np.ndarray:
         """Where units begin: at the first space of a run of spaces, at a line feed and behind it, and with each text."""
@@ -168,13 +179,42 @@ class Sampler:
         is_start = np.zeros(len(total), bool)
         is_start[starts] = True
         source = a_o[by_state]
-        self.reach = np.concatenate([self.reach, self.states + b_o[by_state] + share[by_state] * (1 - 1e-7)])
-        self.source = np.concatenate([self.source, np.where(is_start[source], -1, self.states + source)])
-        self.token = np.concatenate([self.token, token[order][by_state].astype(np.int32)])
+        size = self.edges + len(source)
+        if size > len(self.reach):
+            kept = self.reach, self.source, self.token
+            self._room(size)
+            for old, new in zip(kept, (self.reach, self.source, self.token), strict=True):
+                new[: self.edges] = old[: self.edges]
+        new = slice(self.edges, size)
+        self.reach[new] = ((self.states + b_o[by_state]).astype(np.uint64) << np.uint64(32)) + (share[by_state] * 2.0**32).astype(np.uint64)
+        self.source[new] = np.where(is_start[source], -1, self.states + source)
+        self.token[new] = token[order][by_state]
         ends = self.states + first[1:] + np.arange(len(first) - 1)
         self.states += len(total)
+        self.edges = size
         return ends
 
+    def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The end state of each unit; hashes ascend."""
+        if self.edges > self.max_edges:
+            self._clear()
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        length = (ends - starts)[new]
+        if len(length):
+            a, b = starts[new], np.zeros(len(length), np.int64)
+            part = np.cumsum(length) // self.LEARN_BYTES
+            for k in np.unique(part):
+                some = slice(*np.searchsorted(part, [k, k + 1]))
+                n = length[some]
+                first = np.concatenate([[0], np.cumsum(n)])
+                b[some] = self._learn(data[np.repeat(a[some] - first[:-1], n) + np.arange(first[-1])], first)
+            self.end_of = np.insert(self.end_of, at[new], b)
+            self.known = np.insert(self.known, at[new], hashes[new])
+        return self.end_of[np.searchsorted(self.known, hashes)]
+
     def encode(self, column: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts end to end, and the number of each text's. keys: 64-bit key of each text's draws."""
         texts = Texts(column)
@@ -184,20 +224,7 @@ class Sampler:
         starts = self.units(texts)
         ends = np.append(starts[1:], len(data))
         unique, where, inverse = np.unique(texts.hash_spans(starts, ends), return_index=True, return_inverse=True)
-        if len(self.reach) > self.max_edges:
-            self._clear()
-        at = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != unique[inside]
-        if new.any():
-            a, b = starts[where[new]], ends[where[new]]
-            length = b - a
-            first = np.concatenate([[0], np.cumsum(length)])
-            flat = data[np.repeat(a - first[:-1], length) + np.arange(first[-1])]
-            self.end_of = np.insert(self.end_of, at[new], self._learn(flat, first))
-            self.known = np.insert(self.known, at[new], unique[new])
-        state = self.end_of[np.searchsorted(self.known, unique)][inverse]
+        state = self._lookup(data, starts[where], ends[where], unique)[inverse]
         text = texts.text_of(starts)
         order_in_text = (np.arange(len(starts)) - np.searchsorted(starts, texts.offsets)[text]).astype(np.uint64)
         draw = mix(keys[text] + mix(order_in_text + np.uint64(self.seed * 0x10001 + 1)))
@@ -206,8 +233,8 @@ class Sampler:
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         while len(alive):
             step = np.uint64((len(taken) + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            u = (mix(draw[alive] + step) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.reach, state[alive] + u * (1 - 1e-7), "right")
+            u = mix(draw[alive] + step) >> np.uint64(32)
+            edge = np.searchsorted(self.reach[: self.edges], (state[alive].astype(np.uint64) << np.uint64(32)) + u, "right")
             taken.append((alive, self.token[edge]))
             counts[alive] += 1
             back = self.source[edge]
@@ -221,15 +248,15 @@ class Sampler:
         return out, np.diff(bounds)
 
 
-_samplers: dict[tuple, Sampler] = {}
+_pieces: dict[tuple, Pieces] = {}
 
 
-def sampler(path: str, theta: float, seed: int) -> Sampler:
-    key = (path, theta, seed)
-    if key not in _samplers:
-        _samplers.clear()
-        _samplers[key] = Sampler(Pieces(path, theta), seed)
-    return _samplers[key]
+def loaded(path: str, theta: float = 1.0) -> Pieces:
+    """The pieces of a model, kept by the worker; only one model's at a time."""
+    if (path, theta) not in _pieces:
+        _pieces.clear()
+        _pieces[path, theta] = Pieces(path, theta)
+    return _pieces[path, theta]
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", theta: float = 1.0, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
@@ -244,9 +271,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     schema = rows.select(*passed, F.lit(0).cast("bigint").alias("n_pieces"), F.array().cast("array<int>").alias("ids"), F.lit(0).cast("bigint").alias("text_crc32")).schema
 
     def run(batches):
-        draws = sampler(model, theta, seed)
+        draws = Sampler(loaded(model, theta), seed)  # a task's own, so that an idle worker keeps no lattices
         for batch in batches:
-            for part in chunks(batch, "__text", 1 << 20):
+            for part in chunks(batch, "__text", 1 << 19):
                 texts = part.column("__text").cast(pa.large_string()).fill_null("")
                 row_keys = mix(part.column("__id").fill_null(-1).to_numpy().view(np.uint64))
                 ids, n = draws.encode(texts, row_keys)
@@ -265,7 +292,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", text: bool = Tr
     schema = (schema if text else schema.drop("decoded")).schema
 
     def run(batches):
-        pieces = sampler(model, 1.0, 0).pieces if not _samplers else next(iter(_samplers.values())).pieces
+        pieces = loaded(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

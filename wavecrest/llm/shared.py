@@ -13,13 +13,12 @@ import warnings
 import weakref
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark 4.1: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written. The shuffle files of a query go when it ends, not when the driver happens to collect its garbage;
+#: and the driver keeps the beginning of a plan's description only, since a plan may hold tables of some 100 kB.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "8192"}
 
 _own: list[str] = []
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -40,14 +39,19 @@ def folder(spark: SparkSession) -> str:
 
 def cut(frame: DataFrame) -> DataFrame:
     """The rows of frame, written to the shared folder and read from there: later jobs, and tasks that run anew after an
-    executor is lost, start from these files. The shuffle files of the writing are removed once it has ended."""
+    executor is lost, start from these files. The shuffle files of the writing are removed once it has ended. The driver's JVM is then asked to
+    collect its garbage (by a handle that PySpark calls private; there is no other): an operator runs dozens of queries, and their plans and
+    generated classes would otherwise fill whatever heap the driver has."""
     spark, path = frame.sparkSession, folder(frame.sparkSession)
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         frame.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(frame.schema).parquet(path)
     _paths[out] = path
     return out
@@ -65,22 +69,21 @@ def drop(*frames: DataFrame) -> None:
             warnings.warn(f"an intermediate table stays: {e}", stacklevel=2)
 
 
-def maybe_in(keys: DataFrame, bits: int = 1 << 24) -> Callable[[Column], Column]:
+def maybe_in(keys: DataFrame, bits: int = 1 << 20) -> Callable[[Column], Column]:
     """A condition on 64-bit hashes: whether one may be among ``keys`` (column key), by a table of ``bits`` bits, whatever the number of keys. It
     spares an exact join most rows that can't match; with many more keys than bits it spares less, never wrongly."""
-    place = F.pmod("key", F.lit(bits)).alias("p")
-    words = keys.select(place).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    table = np.zeros(bits // 64, np.uint64)
-    for batch in words.toArrow().to_batches():
-        table[batch.column("w").to_numpy()] = batch.column("b").to_numpy().view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def there(p: pd.Series) -> pd.Series:
-        at = p.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return lambda key: there(F.pmod(key, F.lit(bits)))
+    place = lambda key: F.pmod(key, F.lit(bits))
+    bit = lambda p, n: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(p, F.lit(n)).cast("int"))
+    words = keys.select(place(F.col("key")).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(bit(F.col("p"), 64)).alias("b"))
+    table = bytearray(bits // 8)
+    for w, b in words.collect():
+        table[8 * w : 8 * w + 8] = (b & (1 << 64) - 1).to_bytes(8, "little")
+
+    def there(key: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.lit(bytes(table)), F.floor(place(key) / 8).cast("int") + 1, F.lit(1))), 16, 10)
+        return byte.cast("bigint").bitwiseAND(bit(place(key), 8)) != 0
+
+    return there
 
 
 def column_name(frame: DataFrame, stem: str) -> str:

@@ -103,6 +103,39 @@ class Model:
         top = np.maximum.reduceat(self.maps(rows), starts, axis=0)
         return np.maximum(top + self.bias, 0) @ self.weight + self.offset + self.shift
 
+    def gradients(self, padded: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, float]:
+        """Of the mean log loss (and 5e-5 of the squared last weights): gradients of kernels, bias and weight; rows of the table, with
+        the gradient of each; and the gradient of the offset."""
+        maps = self.maps(padded)
+        ends = np.append(starts[1:], len(maps))
+        best = np.array([maps[a:b].argmax(axis=0) + a for a, b in zip(starts, ends, strict=True)])
+        raw = maps[best, np.arange(maps.shape[1])] + self.bias
+        top = np.maximum(raw, 0)
+        z = top @ self.weight + self.offset
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels).astype(np.float32) / len(labels)
+        d_top = g[:, None] * self.weight * (raw > 0)
+        dense, touched, into = [], [], []
+        for k, kernel in enumerate(self.kernels):
+            part = slice(k * self.filters, (k + 1) * self.filters)
+            d, at_best = d_top[:, part], best[:, part]
+            dk = np.zeros_like(kernel)
+            for j in range(len(kernel)):
+                ids = padded[np.minimum(at_best + j, len(padded) - 1)]  # texts, filters, 4
+                x = self.table[ids].sum(axis=2)
+                dk[j] = np.einsum("tf,tfe->ef", d, x)
+                dx = d[:, :, None] * kernel[j].T[None]
+                touched.append(ids.reshape(-1, 4))
+                into.append(dx.reshape(-1, self.size))
+            dense.append(dk)
+        dense += [d_top.sum(axis=0), top.T @ g + 1e-4 * self.weight]
+        ids = np.concatenate(touched).reshape(-1)
+        dx = np.repeat(np.concatenate(into), 4, axis=0)
+        used = np.abs(dx).sum(axis=1) > 0
+        unique, inverse = np.unique(ids[used], return_inverse=True)
+        total = np.zeros((len(unique), self.size), np.float32)
+        np.add.at(total, inverse, dx[used])
+        return dense, unique, total, float(g.sum())
+
     def fit(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, keep: np.ndarray, batch: int = 32, rate: float = 0.01, least_steps: int = 480) -> None:
         """At least four passes over the texts ``keep``, and more over few, up to least_steps batches."""
         epochs = max(4, -(-least_steps * batch // len(keep)))
@@ -119,30 +152,8 @@ class Model:
                 words = np.concatenate([rows[first[k] : first[k + 1]] for k in chosen])
                 words = np.where(r.random(words.shape) < DROP, PAD, words)
                 padded, starts = self.padded(words, np.concatenate([[0], np.cumsum(counts)]))
-                maps = self.maps(padded)
-                ends = np.append(starts[1:], len(maps))
-                best = np.array([maps[a:b].argmax(axis=0) + a for a, b in zip(starts, ends, strict=True)])
-                raw = maps[best, np.arange(maps.shape[1])] + self.bias
-                top = np.maximum(raw, 0)
-                z = top @ self.weight + self.offset
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[chosen]).astype(np.float32) / len(chosen)
-                d_top = g[:, None] * self.weight * (raw > 0)
-                grads = []
-                touched, into = [], []
-                for k, kernel in enumerate(self.kernels):
-                    part = slice(k * self.filters, (k + 1) * self.filters)
-                    d, at_best = d_top[:, part], best[:, part]
-                    dk = np.zeros_like(kernel)
-                    for j in range(len(kernel)):
-                        ids = padded[np.minimum(at_best + j, len(padded) - 1)]  # texts, filters, 4
-                        x = self.table[ids].sum(axis=2)
-                        dk[j] = np.einsum("tf,tfe->ef", d, x)
-                        dx = d[:, :, None] * kernel[j].T[None]
-                        touched.append(ids.reshape(-1, 4))
-                        into.append(dx.reshape(-1, self.size))
-                    grads.append(dk)
-                grads += [d_top.sum(axis=0), top.T @ g + 1e-4 * self.weight]
-                self.offset -= np.float32(rate * g.sum() * 5)
+                grads, unique, total, g = self.gradients(padded, starts, labels[chosen])
+                self.offset -= np.float32(rate * g * 5)
                 step += 1
                 for p, d, (m, v) in zip(dense, grads, moments, strict=True):
                     m *= 0.9
@@ -150,12 +161,6 @@ class Model:
                     v *= 0.999
                     v += 0.001 * d * d
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-                ids = np.concatenate(touched).reshape(-1)
-                dx = np.repeat(np.concatenate(into), 4, axis=0)
-                used = np.abs(dx).sum(axis=1) > 0
-                unique, inverse = np.unique(ids[used], return_inverse=True)
-                total = np.zeros((len(unique), self.size), np.float32)
-                np.add.at(total, inverse, dx[used])
                 seen[unique] += (total * total).mean(axis=1)
                 self.table[unique] -= 10 * rate * total / np.sqrt(seen[unique])[:, None]
                 self.table[PAD] = 0
@@ -270,7 +275,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, text, 1 << 20):
+            for part in chunks(batch, text, 1 << 18):
                 scores = shared.value.score(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores)], [*names, "__score"])
 

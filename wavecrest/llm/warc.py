@@ -3,9 +3,11 @@
 Payload digests are grouped, one response of each digest keeps its payload, every other record becomes a revisit record that
 refers to it, and archives are written with fresh headers, one gzip member per record. Reading back joins revisits to their responses.
 
-Scale: rows of one digest are summed to their largest key with a partial aggregate; the join back deals by digest, and adaptive
-execution splits a digest that many pages share. Each task streams its rows into one file at a time, and starts another at
-``file_bytes``; readers stream files in pieces, and hold one record. A task that runs anew writes under other names
+Scale: only headers (key, URI, digest, length) are shuffled: those of one digest are summed to their largest key with a partial
+aggregate, and joined back, where adaptive execution splits a digest that many pages share. Revisit records are written from headers alone.
+Payloads are written where they lie by all rows that can't be a revisit, as a table of bits of fixed size tells; the few that it can't
+tell are looked up exactly. Each task streams its rows into one file at a time, and starts another at
+``file_bytes``; each file is read by a task of its own, in pieces, and one record is held. A task that runs anew writes under other names
 before it takes the same final ones.
 """
 
@@ -17,13 +19,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.llm.shared import folder, move, open_input, open_output
+from wavecrest.llm.shared import cut, drop, folder, maybe_in, move, open_input, open_output
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6f1d7a53-2f0b-5a5e-9f0c-6c1b6f3f2a10")
@@ -128,7 +131,7 @@ def write_archives(
     payload_col: str = "html",
     min_bytes: int = 0,
     file_bytes: int = 256 << 20,
-    date: str = "2024-01-01T00:00:00Z",
+    date: str | None = None,
 ) -> DataFrame:
     """Writes one record per row of pages to archives below ``target`` (a path that all executors see) and returns the
     manifest (part, file, n_records, n_bytes), itself written there.
@@ -136,19 +139,35 @@ def write_archives(
     The payload is the text in UTF-8, or the bytes of a binary column; null counts as empty. Of rows with equal payloads of at
     least ``min_bytes`` bytes, that with the largest id is a response and the others revisit it; smaller ones are all
     responses. Equal payloads are told by SHA-1 and length. Rows that repeat the largest id with an equal payload are all
-    responses; a null id is smaller than any, and if all are null, all are responses. An empty table gives an empty manifest."""
+    responses; a null id is smaller than any, and if all are null, all are responses. ``date`` is that of all records, by default the time of
+    the call. An empty table gives an empty manifest."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("__id"), F.col(uri_col).cast("string").alias("__uri"), payload.alias("__payload"))
-    rows = rows.withColumns({"__sha": F.sha1("__payload"), "__n": F.octet_length("__payload").cast("bigint")})
+    rows = rows.withColumns({"__sha": F.unhex(F.sha1("__payload")), "__n": F.octet_length("__payload").cast("bigint")})
+    headers = cut(rows.drop("__payload"))
     shared = (
-        rows.where(F.col("__n") >= min_bytes)
+        headers.where(F.col("__n") >= min_bytes)
         .groupBy("__sha", "__n")
         .agg(F.max("__id").alias("__original"), F.count("*").alias("__rows"))
         .where("__rows > 1 and __original is not null")
         .drop("__rows")
     )
-    rows = rows.join(shared, ["__sha", "__n"], "left")
-    rows = rows.select("__id", "__uri", "__payload", F.when(~F.col("__id").eqNullSafe(F.col("__original")), F.col("__original")).alias("__original"))
+    revisits = cut(headers.join(shared, ["__sha", "__n"]).where("not (__id <=> __original)"))
+
+    # payloads of rows that may be a revisit by their bit, but are none
+    row = F.xxhash64("__id", "__sha", "__n")
+    may_revisit = maybe_in(revisits.select(row.alias("key")))
+    names = ["__id", "__sha", "__n"]
+    keys = revisits.select(*(F.col(c).alias(f"{c}r") for c in names))
+    same = F.col("__id").eqNullSafe(F.col("__idr")) & (F.col("__sha") == F.col("__shar")) & (F.col("__n") == F.col("__nr"))
+    doubtful = cut(headers.where(may_revisit(row)).join(keys, same, "left_anti").select(*(F.col(c).alias(f"{c}r") for c in names)).distinct())
+    may_doubt = maybe_in(doubtful.select(F.xxhash64("__idr", "__shar", "__nr").alias("key")))
+    rest = rows.where(may_doubt(row)).join(doubtful, same, "left_semi")
+
+    original = F.lit(None).cast("bigint").alias("__original")
+    responses = rows.where(~may_revisit(row)).unionAll(rest).select("__id", "__uri", "__sha", "__payload", original)
+    rows = responses.unionAll(revisits.select("__id", "__uri", "__sha", F.lit(b"").alias("__payload"), "__original"))
 
     def write(batches):
         part = TaskContext.get().partitionId()
@@ -163,12 +182,12 @@ def write_archives(
 
         for batch in batches:
             for i in range(batch.num_rows):
-                key, uri, body, original = (batch.column(c)[i].as_py() for c in ("__id", "__uri", "__payload", "__original"))
+                key, uri, sha, body, original = (batch.column(c)[i].as_py() for c in ("__id", "__uri", "__sha", "__payload", "__original"))
                 if stream is None:
                     final = f"{target}/part-{part:06d}-{number:04d}.warc.gz"
                     writing = f"{final}.{uuid.uuid4().hex}.part"
                     stream, n_records, n_bytes, number = open_output(writing), 0, 0, number + 1
-                member = gzip.compress(record(key, uri, body, payload_digest(body), original, date), 6, mtime=0)
+                member = gzip.compress(record(key, uri, body, base64.b32encode(sha).decode(), original, date), 6, mtime=0)
                 stream.write(member)
                 n_records, n_bytes = n_records + 1, n_bytes + len(member)
                 if n_bytes >= file_bytes:
@@ -178,6 +197,7 @@ def write_archives(
             yield done()
 
     rows.mapInArrow(write, MANIFEST).write.parquet(f"{target}/manifest")
+    drop(headers, revisits, doubtful)
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{target}/manifest")
 
 
@@ -187,8 +207,9 @@ READ = "page_id bigint, uri string, record_type string, record_id string, refers
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """A row per record of the archives: page_id (null if it had none), uri, record_type, record_id, refers_to_id, payload_digest
     (as the header has it; checked against the payload of a response), payload_bytes of the record's own block, and payload
-    (null if not asked for). Files are dealt one to a task."""
-    files = manifest.select("file").repartition("file")
+    (null if not asked for). There are as many tasks as files."""
+    files = manifest.select("file")
+    files = files.repartitionByRange(max(1, files.count()), "file")
 
     def read(batches):
         names = ["page_id", "uri", "record_type", "record_id", "refers_to_id", "payload_digest", "payload_bytes", "payload"]
@@ -231,4 +252,4 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def deduplicated(pages: DataFrame, **options) -> DataFrame:
     """Writes the archives to a new place in the shared folder, reads them back and resolves their revisits."""
     manifest = write_archives(pages, folder(pages.sparkSession), **options)
-    return resolve_revisits(read_archives(manifest, payloads=False))
+    return resolve_revisits(cut(read_archives(manifest, payloads=False)))
