@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavecrest.llm import embeddings, language, line_dedup, line_quality, minhash, mixing, pieces, token_planes, toxicity, warc
+from wavecrest.llm import conversations, embeddings, exact_dedup, language, line_dedup, line_quality, minhash, mixing, pieces, token_planes, toxicity, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_automaton_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("evaluated")
+
+
+def op13_digest_run_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kmeans_near_vectors": op1_kmeans_near_vectors,
     "op2_line_frequency_quality": op2_line_frequency_quality,
@@ -73,6 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_set_similarity": op8_line_set_similarity,
     "op9_text_cnn_toxicity": op9_text_cnn_toxicity,
     "op10_minmax_near_dedup": op10_minmax_near_dedup,
+    "op11_suffix_automaton_repair": op11_suffix_automaton_repair,
+    "op12_laesa_codes": op12_laesa_codes,
+    "op13_digest_run_tree": op13_digest_run_tree,
 }
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op13_digest_run_tree"] = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST)"""
