@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavecrest.operators.ranks import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,11 +34,11 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """channel, i, x: the values of a user's events in order of time. One exchange, by user; everything that follows for a
-    channel, or a block of it, keeps that partitioning."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    return e.select(F.col("user_id").alias("channel"), (F.row_number().over(w) - 1).cast("bigint").alias("i"), F.col("value").alias("x"), "ts")
+    """channel, i, x: the values of a user's events in order of time. Events are numbered by hours first and then within an hour, so that no task
+    holds a channel."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), "ts", "event_id", F.col("value").alias("x"))
+    hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
+    return numbered(e, ["channel"], hour, ["ts", "event_id"], "i").select("channel", "i", "x", "ts")
 
 
 FRAMES_SQL = "f AS (SELECT vec_id AS frame_no, label, CAST(unnest(range(0, len(embedding))) AS BIGINT) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
