@@ -1,12 +1,7 @@
-import os
-import tempfile
-
-import pyarrow.parquet as pq
 import pytest
 
 from tests.compare import connect, rows
 from wavecrest.plans import catalogue
-from wavecrest.streaming.blocks import blocks_to_end
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,19 +18,3 @@ def test_matches_sql(spark, name):
 def test_every_sample_is_read(spark, name):
     n = connect(SF).execute("SELECT sum(ceil(len(embedding) / 16) * 16)::BIGINT FROM embeddings" if name == "cosine_blocks" else "SELECT sum(len(embedding))::BIGINT FROM embeddings").fetchone()[0]
     assert catalogue.QUERIES[name](spark, SF).count() == n
-
-
-def test_state_is_carried_over_batches_and_flushed(spark):
-    place = tempfile.mkdtemp(prefix="spark-")
-    events = pq.read_table(f"{SF}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
-    for k in range(4):
-        first, last = (j * len(events) // 4 for j in (k, k + 1))
-        pq.write_table(events.slice(first, last - first), f"{place}/events{k}.parquet")
-        os.utime(f"{place}/events{k}.parquet", (1e9 + k, 1e9 + k))
-    schema = spark.read.parquet(place).schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 1).parquet(place)
-    got = blocks_to_end(s, f"{place}/out").toPandas()
-    want = connect(SF).execute(catalogue.ORACLES["stream_all_blocks"]).df()
-    got["energy"] = got["energy"].round(4)
-    assert rows(got) == rows(want) and got["n"].sum() == len(events) and not got["full"].all()
-    assert len(os.listdir(f"{place}/out/checkpoint/commits")) >= 4

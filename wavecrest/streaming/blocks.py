@@ -48,15 +48,3 @@ def run_to_end(frame: DataFrame, place: str, mode: str = "append") -> DataFrame:
     q = frame.writeStream.format("parquet").outputMode(mode).option("path", f"{place}/table").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{place}/table")
-
-
-def blocks_to_end(events: DataFrame, place: str, size: int = 8) -> DataFrame:
-    """channel, block, n, energy, full: what ``blocks`` has given when the stream has ended, then a last block (not full, of n samples) of
-    each channel that still holds some. A batch pass over the state gives these; the state stays, so that a stream that goes on from the
-    checkpoint fills these blocks up."""
-    done = run_to_end(blocks(events, size), place)
-    full = done.select("channel", "block", F.lit(size).cast("bigint").alias("n"), "energy", F.lit(True).alias("full"))
-    state = events.sparkSession.read.format("statestore").load(f"{place}/checkpoint")
-    held = state.select(F.col("key.user_id").alias("channel"), F.col("value.groupState.done").alias("block"), F.col("value.groupState.held").alias("x")).where(F.size("x") > 0)
-    energy = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    return full.unionByName(held.select("channel", "block", F.size("x").cast("bigint").alias("n"), energy.alias("energy"), F.lit(False).alias("full")))
