@@ -1,7 +1,7 @@
 """All queries over signals and their SQL."""
 
-from wavecrest.plans import arithmetic, chains, containers, levels, rules, search, sequence, spectrum, stereo, streams
+from wavecrest.plans import arithmetic, chains, chances, containers, levels, packets, rules, search, sequence, spectrum, stereo, streams, transforms
 
-MODULES = (levels, stereo, spectrum, sequence, search, arithmetic, rules, containers, chains, streams)
+MODULES = (levels, stereo, spectrum, sequence, search, arithmetic, rules, containers, packets, chains, chances, transforms, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -52,6 +52,27 @@ def tag_length(content: Column) -> Column:
     return F.when(starts(content, b"ID3"), size + 10).otherwise(0)
 
 
+def ogg_codec(page: Column) -> Column:
+    """The codec that the first packet of a stream's first page names (opus, vorbis; null for others): the packet begins behind the page's table of
+    segments."""
+    start = 27 + byte(page, 26)
+    named = lambda magic: F.substring(page, start + 1, F.lit(len(magic))) == F.lit(magic)
+    known = F.when(named(b"OpusHead"), "opus").when(named(b"\x01vorbis"), "vorbis")
+    return F.when(starts(page, b"OggS"), known)
+
+
+def behind_tag(content: Column) -> Column:
+    """The format by what the bytes hold: a stream's codec, flac, or the frame that opens behind a tag, if there is one (aac, mp3); null for others."""
+    at = tag_length(content)
+    b0, b1 = byte(content, at), byte(content, at + 1)
+    return (
+        F.when(starts(content, b"OggS"), ogg_codec(content))
+        .when(starts(content, b"fLaC"), "flac")
+        .when((b0 == 0xFF) & (b1.bitwiseAND(F.lit(0xF6)) == 0xF0), "aac")
+        .when((b0 == 0xFF) & (b1.bitwiseAND(F.lit(0xE0)) == 0xE0), "mp3")
+    )
+
+
 # Fixed values of the MPEG audio layer III header, by their codes.
 RATES_MPEG1 = [44100, 48000, 32000]
 BITRATES_MPEG1 = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
@@ -82,16 +103,19 @@ def mpeg_header(content: Column, at: Column | int = 0) -> Column:
     return F.when(good, fields)
 
 
-# Sampling rates of ADTS headers, by their codes.
+# Sampling rates and channels of ADTS headers, by their codes, and the profile that is read.
 RATES_ADTS = [96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000]
+CHANNELS_ADTS = [0, 1, 2, 3, 4, 5, 6, 8]
+LOW_COMPLEXITY = 1
 
 
 def adts_header(content: Column, at: Column | int = 0) -> Column:
-    """sample_rate, channels and frame_bytes of an ADTS frame; null if there is none."""
+    """sample_rate, channels and frame_bytes of an ADTS frame; null if there is none, or one of another profile than low complexity."""
     at = F.lit(at) if isinstance(at, int) else at
     b = [byte(content, at + k) for k in range(7)]
     rate = F.get(F.array(*map(F.lit, RATES_ADTS)), F.shiftright(b[2], 2).bitwiseAND(F.lit(15)))
     channels = F.shiftleft(b[2].bitwiseAND(F.lit(1)), 2).bitwiseOR(F.shiftright(b[3], 6))
+    channels = F.get(F.array(*map(F.lit, CHANNELS_ADTS)), channels)
     size = F.shiftleft(b[3].bitwiseAND(F.lit(3)), 11).bitwiseOR(F.shiftleft(b[4], 3)).bitwiseOR(F.shiftright(b[5], 5))
-    good = (b[0] == 0xFF) & (b[1].bitwiseAND(F.lit(0xF6)) == 0xF0) & rate.isNotNull() & (size >= 7)
+    good = (b[0] == 0xFF) & (b[1].bitwiseAND(F.lit(0xF6)) == 0xF0) & (F.shiftright(b[2], 6) == LOW_COMPLEXITY) & rate.isNotNull() & (size >= 7)
     return F.when(good, F.struct(rate.alias("sample_rate"), channels.alias("channels"), size.alias("frame_bytes")))
