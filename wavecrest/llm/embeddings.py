@@ -5,14 +5,17 @@ points to most. If y lies in cell d and x is within distance r of y, where r**2
 the centroids of its own cell and of d, and no farther from d's centroid than r and the farthest member of d. A vector is a guest of the
 cells after its own that both bounds leave; so chosen they miss no pair, each pair is met once, and the join is exact.
 
-Scale: equal vectors are folded first. Centroids are trained on a bounded sample (``max_sample`` rows) on the driver; their number grows with
-the rows up to ``max_cells``, and labels of up to ``rows_per_cell`` rows, or beyond the ``max_cells`` largest, are one cell. A cell is dealt into blocks of bounded
+Scale: equal vectors are folded first. Centroids are trained on a bounded sample (``max_sample`` rows) on the driver. A label of n vectors has
+sqrt(n / ``rows_per_cell``) cells, ``max_cells`` in all: with cells the comparisons that are spared grow, and so do the guests, for which a square root is a
+balance (vectors of no structure: 10 cells of 5,700 vectors spare 0.4 of the comparisons at 3.4 rows a vector). A cell is dealt into blocks of bounded
 size by a hash; a task multiplies two blocks at a time and gives one count per vector and no more links than tie components together, so a
 crowded cell or label is many small tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,7 +101,7 @@ def near_vectors(
     vector_col: str = "embedding",
     label_col: str | None = "label",
     threshold: float = 0.98,
-    rows_per_cell: int = 16_384,
+    rows_per_cell: int = 64,
     max_cells: int = 4096,
     max_sample: int = 20_000,
     block: int = 4096,
@@ -132,7 +135,7 @@ def near_vectors(
         some = folded.join(F.broadcast(listed), ["dims", "label"]).select("dims", "label", "v").orderBy(F.xxhash64("label", "v")).limit(max_sample).toArrow()
         for d, x, n in sizes:
             mine = some.filter(pc.and_(pc.equal(some["dims"], d), pc.equal(some["label"], x)))["v"].combine_chunks()
-            cells = min(-(-n // rows_per_cell), max_cells * n // total, len(mine))
+            cells = min(math.ceil(math.sqrt(n / rows_per_cell)), max_cells * n // total, len(mine))
             if cells > 1:
                 centroids[d, x] = spherical_kmeans(unit(mine.flatten().to_numpy().reshape(-1, d)), cells)
     shared = spark.sparkContext.broadcast(centroids)

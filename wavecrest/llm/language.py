@@ -204,19 +204,22 @@ def train(texts: list[str], labels: list[str], lexicon_size: int = 2000, seed: i
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, out_fold: int = 2, max_rows: int = 300, max_languages: int = 500, **options) -> Field | None:
     """A field learned from texts and non-null languages of docs outside fold ``out_fold`` (crc32 of the id as text, modulo
-    ``folds``): of each language about ``max_rows`` texts, the bound of the sample. None if there are none. The ``max_languages`` languages of
+    ``folds``): of each language about ``max_rows`` different texts, the bound of the sample; rows that repeat an id and text count once. None if there are none. The ``max_languages`` languages of
     the most texts are learned, the bound of the model's size; others are never predicted."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
     rows = rows.where(F.col("__lang").isNotNull() & F.col("__id").isNotNull() & F.col("__text").isNotNull() & (fold(F.col("__id"), folds) != out_fold))
-    counts = {r[0]: r[1] for r in rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(max_languages).collect()}
+    rows = rows.withColumn("__k", F.xxhash64("__id", "__text"))
+    counts = {r[0]: r[1] for r in rows.select("__lang", "__id", "__k").distinct().groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(max_languages).collect()}
     if not counts:
         return None
     whole = 1 << 40
     share = F.lit(0).cast("bigint")
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("__lang") == lang, F.lit(min(whole, whole * 2 * max_rows // n))).otherwise(share)
-    h = F.pmod(F.xxhash64("__id"), F.lit(whole))
-    table = rows.withColumn("__h", h).where(F.col("__h") < share).toArrow().sort_by([("__h", "ascending"), ("__id", "ascending"), ("__text", "ascending")])
+    drawn = rows.withColumn("__h", F.pmod("__k", F.lit(whole))).where(F.col("__h") < share)
+    drawn = drawn.groupBy("__lang", "__id", "__k").agg(F.min("__h").alias("__h"), F.first("__text").alias("__text"))
+    # about twice as many are drawn as are taken; the limit holds whatever the hash does
+    table = drawn.orderBy("__h", "__id").limit(4 * max_rows * len(counts)).toArrow().sort_by([("__h", "ascending"), ("__id", "ascending"), ("__text", "ascending")])
     texts, labels, taken = [], [], dict.fromkeys(counts, 0)
     for text, lang in zip(table.column("__text").to_pylist(), table.column("__lang").to_pylist(), strict=True):
         if taken[lang] < max_rows:

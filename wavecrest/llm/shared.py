@@ -69,9 +69,13 @@ def drop(*frames: DataFrame) -> None:
             warnings.warn(f"an intermediate table stays: {e}", stacklevel=2)
 
 
-def maybe_in(keys: DataFrame, bits: int = 1 << 20) -> Callable[[Column], Column]:
-    """A condition on 64-bit hashes: whether one may be among ``keys`` (column key), by a table of ``bits`` bits, whatever the number of keys. It
-    spares an exact join most rows that can't match; with many more keys than bits it spares less, never wrongly."""
+def maybe_in(keys: DataFrame, bits_per_key: int = 8, most_bits: int = 1 << 23) -> Callable[[Column], Column]:
+    """A condition on 64-bit hashes: whether one may be among ``keys`` (column key), by a table of ``bits_per_key`` bits for each key and up to
+    twice as many, so that at most one in ``bits_per_key`` of the others is let through. It spares an exact join the rows that can't match. Keys that would need more than
+    ``most_bits`` (a megabyte, by which the plan grows) have no table: all hashes may be among them then, and the exact join does the whole work."""
+    bits = 1 << max(10, (bits_per_key * keys.count() - 1).bit_length())
+    if bits > most_bits:
+        return lambda key: key.isNull() | key.isNotNull()
     place = lambda key: F.pmod(key, F.lit(bits))
     bit = lambda p, n: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(p, F.lit(n)).cast("int"))
     words = keys.select(place(F.col("key")).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(bit(F.col("p"), 64)).alias("b"))

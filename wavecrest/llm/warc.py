@@ -244,9 +244,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     payload_bytes and refers_to are then null."""
     slim = records.select("page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_id")
     responses = slim.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("__page"), F.max("payload_bytes").alias("__bytes"))
-    joined = slim.join(responses.withColumnRenamed("record_id", "__rid"), F.col("refers_to_id") == F.col("__rid"), "left")
-    revisit = F.col("record_type") == "revisit"
-    return joined.select("page_id", F.when(revisit, F.col("__bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest", "record_type", F.when(revisit, F.col("__page")).alias("refers_to"))
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    # only revisits are joined: the others have no key, and would all hash to one partition
+    joined = slim.where(revisit).join(responses.withColumnRenamed("record_id", "__rid"), F.col("refers_to_id") == F.col("__rid"), "left")
+    found = joined.select("page_id", F.col("__bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("__page").alias("refers_to"))
+    return slim.where(~revisit).select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to")).unionAll(found)
 
 
 def deduplicated(pages: DataFrame, **options) -> DataFrame:
