@@ -186,7 +186,8 @@ def clean_texts(
     drop(lines)
     may_hold = maybe_in(held.select(F.xxhash64("row", "host", "tie").alias("key")))(F.xxhash64("__row", "__host", "__tie"))
     same = F.col("__row").eqNullSafe(F.col("row")) & F.col("__host").eqNullSafe(F.col("host")) & (F.col("__tie") == F.col("tie"))
-    with_lines = rows.where(may_hold).join(held, same, "left").select("__row", "__text", "__frequent")
+    # joined by sorting whatever the size of held, so that what a small table costs is what a large one does
+    with_lines = rows.where(may_hold).join(held.hint("merge"), same, "left").select("__row", "__text", "__frequent")
     without = rows.where(~may_hold).select("__row", "__text", F.lit(None).cast("array<bigint>").alias("__frequent"))
     found = with_lines.unionAll(without).mapInArrow(lambda batches: features(batches, window), FEATURES)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
