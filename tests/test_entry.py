@@ -12,4 +12,4 @@ def test_names():
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and len(found) >= 59
     if importlib.util.find_spec("wavecrest.llm"):
-        assert {f"op{k}" for k in range(1, 11)} <= {n.partition("_")[0] for n in found} and "pipeline" in found
+        assert {f"op{k}" for k in range(1, 14)} <= {n.partition("_")[0] for n in found} and "pipeline" in found
