@@ -49,7 +49,7 @@ def rank_sum_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = (F.abs(F.col("u") - n * m / 2) - 0.5) / F.sqrt("variance")
     u = u.withColumn("z", F.when(F.col("variance") > 0, z))
     p = F.least(2 * F.when(F.col("z") >= 0, normal_tail(F.abs("z"))).otherwise(1 - normal_tail(F.abs("z"))), S.lit(1))
-    return u.select("kind", "n", F.col("m").alias("n_base"), F.round("u", 1).alias("u"), F.round("z", 6).alias("z"), F.round(p, 7).alias("p"))
+    return u.select("kind", "n", F.col("m").alias("n_base"), F.round("u", 1).alias("u"), F.round("z", 6).alias("z"), F.round(p, 5).alias("p"))
 
 
 ORACLES["rank_sum_chance"] = """WITH e AS (SELECT event_type, round(value, 0) AS value FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL), b AS (SELECT min(event_type) AS base FROM e), p AS (SELECT k.kind, value, event_type = k.kind AS mine FROM e, b, (SELECT DISTINCT event_type AS kind FROM e, b WHERE event_type <> base) k WHERE event_type IN (k.kind, b.base)),
@@ -57,7 +57,7 @@ r AS (SELECT kind, mine, rank() OVER (PARTITION BY kind ORDER BY value) + (count
 u AS (SELECT kind, count(*) FILTER (mine) AS n, count(*) FILTER (NOT mine) AS m, sum(r) FILTER (mine) - count(*) FILTER (mine) * (count(*) FILTER (mine) + 1) / 2.0 AS u FROM r GROUP BY 1),
 z AS (SELECT *, (abs(u - CAST(n AS DOUBLE) * m / 2) - 0.5) / sqrt(CAST(n AS DOUBLE) * m / 12 * (n + m + 1 - ties / (CAST(n + m AS DOUBLE) * (n + m - 1)))) AS z FROM u JOIN t USING (kind)),
 i AS (SELECT kind, sum(exp(-pow(abs(z) + (s + 0.5) * 1e-4, 2) / 2) * 1e-4) / sqrt(2 * pi()) AS tail FROM z, range(0, 120000) t(s) GROUP BY 1)
-SELECT kind, n, m AS n_base, round(u, 1) AS u, round(z, 6) AS z, round(least(1, 2 * CASE WHEN z >= 0 THEN tail ELSE 1 - tail END), 7) AS p FROM z JOIN i USING (kind)"""
+SELECT kind, n, m AS n_base, round(u, 1) AS u, round(z, 6) AS z, round(least(1, 2 * CASE WHEN z >= 0 THEN tail ELSE 1 - tail END), 5) AS p FROM z JOIN i USING (kind)"""
 
 
 def right_by_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
