@@ -207,6 +207,34 @@ def test_flow_of_many_sources_of_one_pattern_each():
     assert sum(f.get(n, 0) for f in flow[n:]) == 6 and sum(f.get(n + 1, 0) for f in flow[n:]) == 6
 
 
+def test_flow_costs_no_more_than_any_other():
+    from itertools import product
+
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        capacity, members = r.integers(0, 3, 3).tolist(), [[[0], [1], [0, 1]][k] for k in r.integers(0, 3, 3)]
+        quotas, passes = r.integers(0, 7, 2).tolist(), 3
+        ways = [[w for w in product(*(range(passes * c + 1) if s in m else (0,) for s in (0, 1))) if sum(w) <= passes * c] for c, m in zip(capacity, members, strict=True)]
+        cost = lambda words, c: sum(2 * (k // c) + 1 for k in range(words))
+        best = min((-sum(map(sum, w)), sum(cost(sum(x), c) for x, c in zip(w, capacity, strict=True))) for w in product(*ways) if all(sum(x[s] for x in w) <= quotas[s] for s in (0, 1)))
+        flow = mixing.route(capacity, members, quotas, passes)
+        assert all(set(f) <= set(m) for f, m in zip(flow, members, strict=True)) and all(sum(f.get(s, 0) for f in flow) <= quotas[s] for s in (0, 1))
+        assert (-sum(sum(f.values()) for f in flow), sum(cost(sum(f.values()), c) for f, c in zip(flow, capacity, strict=True))) == best
+
+
+def test_flow_of_many_overlapping_patterns():
+    n, m = 200_000, 40
+    r = np.random.default_rng(4)
+    capacity = r.integers(1, 100, n).tolist()
+    members = [sorted({int(a), int(b), int(c)}) for a, b, c in r.integers(0, m, (n, 3))]
+    quotas = [sum(capacity) * (1 + k % 3) // 79 for k in range(m)]
+    flow = mixing.route(capacity, members, quotas, 3)
+    assert [sum(f.get(k, 0) for f in flow) for k in range(m)] == quotas
+    assert all(sum(f.values()) <= 3 * c and set(f) <= set(mine) for f, c, mine in zip(flow, capacity, members, strict=True))
+    # all quotas together are a little less than all words, but some sources want more than their patterns have
+    assert sum(max(0, sum(f.values()) - c) for f, c in zip(flow, capacity, strict=True)) < sum(quotas) // 10
+
+
 def test_overlapping_sources(spark):
     from pyspark.sql import functions as F
 
