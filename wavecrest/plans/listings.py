@@ -12,6 +12,7 @@ from wavecrest.plans.rules import MEASURED_SQL, TOLERANCE_AUDIBLE, TOLERANCE_NMR
 
 ORACLES: dict[str, str] = {}
 
+
 def present_contenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contenders of each label: those of the list that rounds, then those of the list that truncates, in the lists' orders; only those present, which
     are those that have measured a frame of the label. n is the place in what is left, measured the frames."""
