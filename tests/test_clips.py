@@ -9,6 +9,13 @@ MONO = make_wav(np.linspace(-1, 1, 33), 8000, 1, 24)
 ADTS = bytes([0xFF, 0xF1, 0x50, 0x80, 0x01, 0x7F, 0xFC]) + b"\0" * 4
 
 
+
+def page(position: int, serial: int, body: bytes) -> bytes:
+    return b"OggS\0\0" + position.to_bytes(8, "little", signed=True) + serial.to_bytes(4, "little") + b"\0" * 8 + bytes([1, len(body)]) + body
+
+
+VORBIS = page(0, 3, b"\x01vorbis" + b"\0" * 4 + b"\x02" + (32000).to_bytes(4, "little") + b"\0" * 14)
+
 CASES = [
     ("a.pcm", b"\0" * 41, ("raw", 44100, 2, 10, 10 / 44100)),
     ("a.PCM", b"", ("raw", 44100, 2, 0, 0.0)),
@@ -22,6 +29,7 @@ CASES = [
     ("a.aac", ADTS * 3, ("aac", 44100, 2, 3072, 3072 / 44100)),
     ("a.aac", ADTS * 2 + ADTS[:9], ("aac", 44100, 2, 2048, 2048 / 44100)),
     ("a.ogg", b"OggS" + b"\0" * 30, None),
+    ("a.ogg", VORBIS + page(500, 3, b"x") + page(900, 4, b"x") + page(-1, 3, b"x") + page(700, 3, b"x")[:20], ("vorbis", 32000, 2, 500, 500 / 32000)),
     ("a.aac", ADTS * 5000, ("aac", 44100, 2, 5000 * 1024, 5000 * 1024 / 44100)),
     ("a.pcm", None, None),
 ]
