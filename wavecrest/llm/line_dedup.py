@@ -9,7 +9,8 @@ Scale: equal sets are folded into their first line before anything is joined, wi
 ``BUCKETS`` summed counts, of fixed size whatever the text, so no join back to all tokens is needed; any order gives exact results, and a good
 one only fewer candidates. Each line is first tried against the first line that shares one of some tokens, and a line once matched
 is removed whatever else it matches, so a group of thousands of alike lines isn't paired with itself. What is left is open; open lines'
-prefixes are exchanged once and joined with themselves, then with those of the matched lines. Lists of lines and texts are joined by sorting, whatever their
+prefixes are exchanged once and joined with themselves, then with those of the matched lines. Of the pairs found so each line's nearest is
+confirmed first, and the rest only for lines that it doesn't match. Lists of lines and texts are joined by sorting, whatever their
 size, so that a plan that is right for some lines is the plan for all. Tables that nothing reads any more are dropped.
 """
 
@@ -167,13 +168,20 @@ def standing_lines(docs: DataFrame, threshold: float) -> DataFrame:
     before = (c("fdoc") < c("ldoc")) | ((c("fdoc") == c("ldoc")) & (c("fline") < c("lline")))
     late = side(still, "l")
     found = [late.join(side(rows, "f"), (c("ltok") == c("ftok")) & before & may_match("l", "f", t)) for rows in (still, gone)]
-    found = found[0].unionAll(found[1]).select("fdoc", "fline", c("ldoc").alias("doc"), c("lline").alias("line")).distinct()
-    pairs = cut(found.join(stars, ["fdoc", "fline", "doc", "line"], "left_anti"))
+    ends = ["fdoc", "fline", "doc", "line"]
+    found = found[0].unionAll(found[1]).select("fdoc", "fline", c("ldoc").alias("doc"), c("lline").alias("line")).groupBy(*ends).agg(F.count("*").alias("k"))
+    pairs = cut(found.join(stars, ends, "left_anti"))
     drop(flagged, stars)
-    also = confirmed(pairs, known, t)
-    drop(pairs)
-
-    lost = matched.unionAll(also)
+    # each line first against the one that shares most of its prefix; the other pairs only for lines that this one doesn't match
+    nearest = F.max_by(F.struct("fdoc", "fline"), F.struct("k", F.bitwise_not("fdoc"), F.bitwise_not("fline"))).alias("f")
+    tried = cut(pairs.groupBy("doc", "line").agg(nearest).select("f.fdoc", "f.fline", "doc", "line"))
+    also = confirmed(tried, known, t)
+    rest = cut(pairs.select(*ends).join(also, ["doc", "line"], "left_anti").join(tried, ends, "left_anti").select(*ends))
+    drop(pairs, tried)
+    last = confirmed(rest, known, t)
+    drop(rest)
+
+    lost = matched.unionAll(also).unionAll(last)
     return sets.select("doc", "line").join(lost, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_set("line").alias("kept"))
 
 
