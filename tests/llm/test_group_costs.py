@@ -2,7 +2,16 @@
 
 import random
 
-from wavecrest.llm import line_dedup
+from wavecrest.llm import graph, line_dedup
+
+
+def test_components_end_with_their_stars(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "cut", lambda frame, cut=graph.cut: rounds.append(1) or cut(frame))
+    edges = [(0, k) for k in range(1, 40)] + [(100, k) for k in range(101, 120)]
+    got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {k: 0 for k in range(40)} | {k: 100 for k in range(100, 120)}
+    assert len(rounds) == 2  # the edges, and one round
 
 
 def test_alike_lines_are_confirmed_once_each(spark, monkeypatch):
