@@ -2,7 +2,10 @@
 
 import random
 
-from wavecrest.llm import graph, line_dedup
+import numpy as np
+
+from wavecrest.llm import graph, line_dedup, pieces
+from wavecrest.llm.queries import tokenizer_path
 
 
 def test_components_end_with_their_stars(spark, monkeypatch):
@@ -27,3 +30,23 @@ def test_alike_lines_are_confirmed_once_each(spark, monkeypatch):
     sets = [set(text.split()) for _, text in rows]
     assert got == {j: [0] if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(j)) else [] for j in range(120)}
     assert len(asked) > 1 and asked[1] < len(rows)  # of lines still open, a pair each
+
+
+def test_places_where_no_piece_begins_so_are_done():
+    model = pieces.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    assert sorted(model.tables) == list(range(1, model.longest + 1))
+    begins = {k: {b[:k] for b in model.bytes_of if len(b) >= k} for k in (3, 7)}
+    for k, (hashes, ids) in model.tables.items():
+        assert (np.diff(hashes.view(np.uint64)) > 0).all() if len(hashes) > 1 else True
+        assert all(len(model.bytes_of[i]) == k for i in ids[ids >= 0].tolist())
+        if k in begins:
+            assert len(hashes) <= len(begins[k])
+    assert (model.tables[7][1] < 0).any()
+    text = " internationalisation 東京都 zzqx".encode()
+    data = np.frombuffer(text, np.uint8)
+    a, b, token = pieces.Sampler(model)._lattice(data, np.array([0, len(text)]))
+    edges = set(zip(a.tolist(), b.tolist(), token.tolist(), strict=True))
+    starts = [i for i, x in enumerate(text) if x & 0xC0 != 0x80]
+    byte = set(model.byte_ids.tolist())
+    want = {(i, i + len(p), k) for k, p in enumerate(model.bytes_of) if p and k not in byte for i in starts if text.startswith(p, i)}
+    assert {e for e in edges if e[2] not in byte} == want

@@ -56,16 +56,21 @@ class Pieces:
         if sum(byte) != 256:
             raise ValueError("a model with a piece for every byte is needed")
         self.n = n
-        # sorted hashes and ids of the pieces of each length
+        # of each length the sorted hashes of what pieces begin with, and the piece that this is, or -1: a place where no piece begins so is done
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         ids = np.array([i for i in range(n) if plain[i] and self.bytes_of[i]])
         lengths = np.array([len(self.bytes_of[i]) for i in ids])
-        for k in np.unique(lengths).tolist():
-            mine = ids[lengths == k]
-            data = np.frombuffer(b"".join(self.bytes_of[i] for i in mine), np.uint8).reshape(-1, k)
-            h = mix((BYTE_KEYS[data] * place_keys(k)).sum(axis=1, dtype=np.uint64) + np.uint64(k))
-            order = np.argsort(h)
-            self.tables[k] = (h[order], mine[order])
+        data = np.frombuffer(b"".join(self.bytes_of[i] for i in ids), np.uint8)
+        first, acc = np.cumsum(lengths) - lengths, np.zeros(len(ids), np.uint64)
+        for k in range(1, int(lengths.max()) + 1):
+            keep = lengths >= k
+            ids, lengths, first, acc = ids[keep], lengths[keep], first[keep], acc[keep]
+            acc = acc + BYTE_KEYS[data[first + k - 1]] * place_keys(k)[k - 1]
+            h = mix(acc + np.uint64(k))
+            hashes, whole = np.unique(h), lengths == k
+            piece = np.full(len(hashes), -1)
+            piece[np.searchsorted(hashes, h[whole])] = ids[whole]
+            self.tables[k] = hashes, piece
         self.longest = max(self.tables)
         self.lengths = np.array([len(b) for b in self.bytes_of])
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -131,15 +136,15 @@ class Sampler:
             if not len(at):
                 break
             acc = acc + BYTE_KEYS[data[at + k - 1]] * place[k - 1]
-            if k not in self.pieces.tables:
-                continue
             hashes, ids = self.pieces.tables[k]
             h = mix(acc + np.uint64(k))
             i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[i] == h)
+            keep = hashes[i] == h
+            at, acc, width, found = at[keep], acc[keep], width[keep], ids[i[keep]]
+            hit = np.flatnonzero(found >= 0)
             froms.append(at[hit])
             tos.append(at[hit] + k)
-            tokens.append(ids[i[hit]])
+            tokens.append(found[hit])
             single[at[hit[width[hit] == k]]] = True
         chars = np.flatnonzero(head[:-1])
         bare = chars[~single[chars]]
@@ -156,7 +161,9 @@ class Sampler:
         a, b, token = self._lattice(data, first)
         unit = unit_of[a]
         a_state, b_state, place = a + unit, b + unit, b - first[unit]
-        order = np.lexsort((a_state, b_state, place))  # places in turn; in a place by the state that edges lead to
+        # places in turn; in a place by the state that edges lead to, then by the one they come from
+        longest = self.pieces.longest
+        order = np.argsort((place * (len(data) + len(first)) + b_state) * (longest + 1) + longest - (b - a))
         a_o, b_o, place_o, w = a_state[order], b_state[order], place[order], self.pieces.log_weight[token[order]]
         total = np.zeros(len(data) + len(first) - 1)
         share = np.empty(len(order))
