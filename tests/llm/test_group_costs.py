@@ -32,6 +32,22 @@ def test_alike_lines_are_confirmed_once_each(spark, monkeypatch):
     assert len(asked) > 1 and asked[1] < len(rows)  # of lines still open, a pair each
 
 
+def test_alike_lines_make_no_table_of_pairs(spark, monkeypatch):
+    draw = random.Random(5)
+    bases = [[f"base{k}" for k in range(60)], [f"long{k}" for k in range(200)]]
+    rows = []
+    for doc in range(160):
+        base = bases[doc % 4 == 3]
+        rows.append((doc, " ".join(w if draw.random() > 0.095 else f"other{draw.randrange(40)}" for w in base)))
+    made = []
+    monkeypatch.setattr(line_dedup, "cut", lambda frame, cut=line_dedup.cut: (out := cut(frame), made.append(out.count()))[0])
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = [set(text.split()) for _, text in rows]
+    alike = [[i for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for j in range(160)]
+    assert got == {j: [0] if alike[j] else [] for j in range(160)} and sum(map(len, alike)) > 500
+    assert max(made[1:]) <= 160  # but for the counts of words, a row a line at most
+
+
 def test_places_where_no_piece_begins_so_are_done():
     model = pieces.Pieces(tokenizer_path("piece_bpe_32k.model"))
     assert sorted(model.tables) == list(range(1, model.longest + 1))

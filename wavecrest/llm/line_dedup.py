@@ -7,15 +7,17 @@ every bit in which they differ stands for a token that only one of the sets has.
 
 Scale: equal sets are folded into their first line before anything is joined, with a partial aggregate. Rarity is read from a table of
 ``BUCKETS`` summed counts, of fixed size whatever the text, so no join back to all tokens is needed; any order gives exact results, and a good
-one only fewer candidates. Each line is first tried against the first line that shares one of some tokens, and a line once matched
-is removed whatever else it matches, so a group of thousands of alike lines isn't paired with itself. What is left is open; open lines'
-prefixes are exchanged once and joined with themselves, then with those of the matched lines. Of the pairs found so each line's nearest is
-confirmed first, and the rest only for lines that it doesn't match. Lists of lines and texts are joined by sorting, whatever their
-size, so that a plan that is right for some lines is the plan for all. Tables that nothing reads any more are dropped.
+one only fewer candidates. Prefixes are exchanged once and joined with themselves by a semi-join: a line stops at the first one that passes the
+filters, so of a group of thousands of alike lines each is a row a token at most, and no table of pairs is made. The lines that pass are fetched
+whole and tried against one candidate each, twice; those that match neither go through a last semi-join whose condition compares the whole sets.
+Lists of lines and texts are joined by sorting, whatever their size, so that a plan that is right for some lines is the plan for all. Tables
+that nothing reads any more are dropped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ BLANKS = " \t\x0b\x0c\r"
 BUCKETS = 1 << 18
 #: A token's number: 7 bits of rarity (a character code), 56 bits of hash.
 HASH = (1 << 56) - 1
-#: One in so many tokens, by its hash and so in every line alike, is tried for a first line.
-STAR_SHARE = 3
+#: So often an open line is tried against a single one, before those left are against all.
+ROUNDS = 2
 
 
 def plain(text: Column) -> Column:
@@ -62,11 +64,11 @@ def rarity_table(docs: DataFrame) -> bytes:
 
 def by_rarity(hashes: Column, table: bytes) -> Column:
     """Hashes with their rarity before them, rarest first."""
+    ranks = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # a constant to Spark
 
     def ranked(x: Column) -> Column:
-        place = x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-        rank = F.ascii(F.substring(F.lit(table), place, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("bigint"), 56).bitwiseOR(x)
+        rank = F.coalesce(F.get(ranks, x.bitwiseAND(F.lit(BUCKETS - 1))).cast("bigint"), F.lit(0).cast("bigint"))
+        return F.shiftleft(rank, 56).bitwiseOR(x)
 
     return F.sort_array(F.transform(hashes, ranked))
 
@@ -87,15 +89,27 @@ def needed(n: Column, m: Column, t: float) -> Column:
 
 
 def may_match(a: str, b: str, t: float) -> Column:
-    """Length, positional and parity filters for the sets whose columns begin with a and b: np holds the size and, in its 31 low bits,
-    the place of the shared token."""
-    n, m = (F.shiftright(f"{x}np", 31) for x in (a, b))
-    p, q = (F.col(f"{x}np").bitwiseAND(F.lit((1 << 31) - 1)) for x in (a, b))
+    """Length, positional and parity filters for the sets whose columns begin with a and b: n holds the size, pos the place of the shared token."""
+    n, m = (F.col(f"{x}n") for x in (a, b))
+    p, q = (F.col(f"{x}pos") for x in (a, b))
     least = needed(n, m, t)
     differ = F.bit_count(F.col(f"{a}map1").bitwiseXOR(F.col(f"{b}map1"))) + F.bit_count(F.col(f"{a}map2").bitwiseXOR(F.col(f"{b}map2")))
     return (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (F.least(n - p, m - q) >= least) & (differ <= n + m - 2 * least)
 
 
+def fine_parity(hashes: Column) -> Column:
+    """16 words of parities of a set that is too large for two to tell much, else null."""
+    part = lambda w: parity(F.filter(hashes, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(15)) == w))
+    return F.when(F.size(hashes) > 64, F.transform(F.sequence(F.lit(0), F.lit(15)), part))
+
+
+def may_match_finely(a: str, b: str, t: float) -> Column:
+    """The parity filter for the words of ``fine_parity``, where both sets have them."""
+    n, m = (F.col(f"{x}n") for x in (a, b))
+    differ = F.zip_with(f"{a}fine", f"{b}fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.coalesce(F.reduce(differ, F.lit(0), lambda total, x: total + x) <= n + m - 2 * needed(n, m, t), F.lit(True))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc, line and set (hashes) of the lines named in wanted (doc, line)."""
     listed = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
@@ -104,25 +118,39 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.where("one is not null").select("doc", "line", hashed(F.split("one", " ")).alias("set"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """(doc, line) of the later lines of pairs (fdoc, fline, doc, line) that are similar indeed."""
-    first = pairs.select(F.col("fdoc").alias("doc"), F.col("fline").alias("line"))
-    wanted = cut(first.unionAll(pairs.select("doc", "line")).distinct())
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sets_of`` as a table of its own; only texts that may hold a line of wanted are shuffled."""
     needed_docs = maybe_in(wanted.select(F.xxhash64("doc").alias("key")))
-    sets = cut(sets_of(docs.where(needed_docs(F.xxhash64("doc"))), wanted))
-    drop(wanted)
-    x = pairs.join(sets.withColumnRenamed("set", "y"), ["doc", "line"])
-    x = x.join(sets.select(F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.col("set").alias("x")), ["fdoc", "fline"])
-    common = F.size(F.array_intersect("x", "y"))
-    out = cut(x.where(common >= (F.size("x") + F.size("y") - common) * t - 1e-9).select("doc", "line").distinct())
-    drop(sets)
-    return out
+    return cut(sets_of(docs.where(needed_docs(F.xxhash64("doc"))), wanted))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(doc, line) of the later lines of pairs (fdoc, fline, doc, line) that are similar indeed, by their whole sets."""
+    x = pairs.join(sets.select("doc", "line", F.col("set").alias("y")).hint("merge"), ["doc", "line"])
+    x = x.join(sets.select(F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.col("set").alias("x")).hint("merge"), ["fdoc", "fline"])
+    return cut(x.where(similar("x", "y", t)).select("doc", "line").distinct())
 
 
-def postings(sets: DataFrame) -> DataFrame:
-    """A row per token of the prefix: tok, doc, line, np, map1, map2."""
-    posts = sets.select(F.posexplode("prefix").alias("pos", "tok"), "doc", "line", "n", "map1", "map2")
-    return posts.select("tok", "doc", "line", F.shiftleft("n", 31).bitwiseOR(F.col("pos").cast("bigint")).alias("np"), "map1", "map2")
+def postings(sets: DataFrame, *more: str) -> DataFrame:
+    """A row per token of the prefix: doc, line, np, map1, map2, further columns, pos, tok; in this order a self-join's sides have like plans."""
+    return sets.select("doc", "line", "n", "map1", "map2", *more, F.posexplode("prefix").alias("pos", "tok"))
+
+
+def meet(rows: DataFrame, others: DataFrame, condition: Column) -> DataFrame:
+    """(doc, line) of the rows (alias l) that meet one of others (alias f) with a token and condition in common. Each row is one at most."""
+    there = (F.col("l.tok") == F.col("f.tok")) & condition
+    return rows.alias("l").join(others.alias("f").hint("merge"), there, "left_semi").select("doc", "line").distinct()
+
+
+def earlier(a: str, b: str) -> Column:
+    """Whether the line of prefix a comes before that of prefix b."""
+    return (F.col(f"{a}doc") < F.col(f"{b}doc")) | ((F.col(f"{a}doc") == F.col(f"{b}doc")) & (F.col(f"{a}line") < F.col(f"{b}line")))
+
+
+def similar(x: str, y: str, t: float) -> Column:
+    """Whether the sets x and y have similarity t."""
+    common = F.size(F.array_intersect(x, y))
+    return common >= (F.size(x) + F.size(y) - common) * t - 1e-9
 
 
 def standing_lines(docs: DataFrame, threshold: float) -> DataFrame:
@@ -143,46 +171,44 @@ def standing_lines(docs: DataFrame, threshold: float) -> DataFrame:
     prefix = F.slice("s", 1, F.when(alone, 0).otherwise(c("n") - F.ceil(c("n") * t - 1e-9) + 1).cast("int"))
     # a token is told by 32 bits of its hash: a chance meeting is one more candidate
     prefix = F.transform(prefix, lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
-    first = F.struct("doc", "line", c("n").cast("bigint").alias("n"), parity(c("low")).alias("map1"), parity(c("high")).alias("map2"), prefix.alias("prefix"))
+    first = F.struct("doc", "line", "n", parity(c("low")).alias("map1"), parity(c("high")).alias("map2"), prefix.alias("prefix"))
     keyed = lines.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), first.alias("r"))
     sets = cut(keyed.groupBy("k1", "k2").agg(F.min("r").alias("r")).select("r.*"))
 
-    # each line against the first one that shares one of some tokens of its prefix
-    names = ["doc", "line", "np", "map1", "map2"]
-    posts = postings(sets).where(F.pmod("tok", F.lit(STAR_SHARE)) == 0)
-    firsts = posts.groupBy("tok").agg(F.min(F.struct(*names)).alias("f"), F.count("*").alias("k")).where("k > 1")
-    firsts = firsts.select(c("tok").alias("ftok"), *(c(f"f.{x}").alias(f"f{x}") for x in names))
-    is_first = (c("fdoc") == c("doc")) & (c("fline") == c("line"))
-    stars = cut(posts.join(firsts, (c("tok") == c("ftok")) & ~is_first & may_match("", "f", t)).select("fdoc", "fline", "doc", "line").distinct())
-    matched = confirmed(stars, known, t)
-
-    # lines that are not matched yet against all earlier ones but those tried; both sides of the first join read one exchange
-    mark = matched.select("doc", "line", F.lit(True).alias("lost"))
-    flagged = cut(sets.join(mark.hint("merge"), ["doc", "line"], "left"))
-    still, gone = (postings(flagged.where(x)) for x in ("lost is null", "lost"))
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        # both sides rename all columns: two exchanges of the same rows are one only if their plans are alike
-        return rows.select(*(c(x).alias(f"{name}{x}") for x in rows.columns))
-
-    before = (c("fdoc") < c("ldoc")) | ((c("fdoc") == c("ldoc")) & (c("fline") < c("lline")))
-    late = side(still, "l")
-    found = [late.join(side(rows, "f"), (c("ltok") == c("ftok")) & before & may_match("l", "f", t)) for rows in (still, gone)]
+    # the lines that may match any other; both sides of the join read one exchange
+    posts = postings(sets)
+    alike = cut(meet(posts, posts, (earlier("f.", "l.") | earlier("l.", "f.")) & may_match("l.", "f.", t)))
+    whole = whole_sets(known, alike)
+    near = cut(sets.join(whole.hint("merge"), ["doc", "line"]))
+    drop(alike, whole)
+
+    # each open line against one: of those that were chosen for none before, the first for most of its tokens
     ends = ["fdoc", "fline", "doc", "line"]
-    found = found[0].unionAll(found[1]).select("fdoc", "fline", c("ldoc").alias("doc"), c("lline").alias("line")).groupBy(*ends).agg(F.count("*").alias("k"))
-    pairs = cut(found.join(stars, ends, "left_anti"))
-    drop(flagged, stars)
-    # each line first against the one that shares most of its prefix; the other pairs only for lines that this one doesn't match
+    names = ["doc", "line", "n", "map1", "map2", "pos"]
     nearest = F.max_by(F.struct("fdoc", "fline"), F.struct("k", F.bitwise_not("fdoc"), F.bitwise_not("fline"))).alias("f")
-    tried = cut(pairs.groupBy("doc", "line").agg(nearest).select("f.fdoc", "f.fline", "doc", "line"))
-    also = confirmed(tried, known, t)
-    rest = cut(pairs.select(*ends).join(also, ["doc", "line"], "left_anti").join(tried, ends, "left_anti").select(*ends))
-    drop(pairs, tried)
-    last = confirmed(rest, known, t)
-    drop(rest)
-
-    lost = matched.unionAll(also).unionAll(last)
-    return sets.select("doc", "line").join(lost, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_set("line").alias("kept"))
+    lost, tried, still, others = [], [], near, near
+    for _ in range(ROUNDS):
+        firsts = postings(others).groupBy(c("tok").alias("ftok")).agg(F.min(F.struct(*names)).alias("f")).select("ftok", *(c(f"f.{x}").alias(f"f{x}") for x in names))
+        met = postings(still).join(firsts.hint("merge"), (c("tok") == c("ftok")) & earlier("f", "") & may_match("", "f", t))
+        met = met.groupBy(*ends).agg(F.count("*").alias("k")).groupBy("doc", "line").agg(nearest)
+        tried.append(cut(met.select("f.fdoc", "f.fline", "doc", "line")))
+        lost.append(confirmed(tried[-1], near, t))
+        still = still.join(lost[-1].hint("merge"), ["doc", "line"], "left_anti")
+        others = others.join(tried[-1].select(c("fdoc").alias("doc"), c("fline").alias("line")).distinct().hint("merge"), ["doc", "line"], "left_anti")
+    drop(*tried)
+
+    # what is open still against all earlier ones; whole sets go beside the tokens only of lines that may match so
+    left = still.select("doc", "line", F.lit(True).alias("open"))
+    rows = cut(near.join(left.hint("merge"), ["doc", "line"], "left").withColumn("fine", fine_parity(c("set"))))
+    posts = postings(rows, "open", "fine")
+    later = F.when(earlier("f.", "l."), c("l.open")).when(earlier("l.", "f."), c("f.open"))
+    alike = cut(meet(posts, posts, later & may_match("l.", "f.", t) & may_match_finely("l.", "f.", t)))
+    posts = postings(rows.join(alike.hint("merge"), ["doc", "line"]), "open", "set")
+    lost.append(cut(meet(posts.where("open"), posts, earlier("f.", "l.") & may_match("l.", "f.", t) & similar("l.set", "f.set", t))))
+    drop(near, rows, alike)
+
+    gone = reduce(DataFrame.unionAll, lost)
+    return sets.select("doc", "line").join(gone.hint("merge"), ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_set("line").alias("kept"))
 
 
 def numbers(lines: Column, full: bool) -> Column:
