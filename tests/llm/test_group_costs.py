@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tests.llm.test_text_operators import brute_lines
 from wavecrest.llm import graph, line_dedup, pieces
 from wavecrest.llm.queries import tokenizer_path
 
@@ -48,6 +50,26 @@ def test_alike_lines_make_no_table_of_pairs(spark, monkeypatch):
     assert max(made[1:]) <= 160  # but for the counts of words, a row a line at most
 
 
+def test_joins_of_lines_call_no_function_a_pair(spark, monkeypatch):
+    """Lines of sizes around the ends of the size classes, each among those of its family that are a little shorter or longer."""
+    sizes = [*range(1, 13), *range(22, 34), *range(66, 102, 3)]
+    rows = [(doc, " ".join(f"w{doc % 3}x{k}" for k in range(n))) for doc, n in enumerate(random.Random(6).sample(sizes * 3, 3 * len(sizes)))]
+    plans = []
+    monkeypatch.setattr(line_dedup, "cut", lambda frame, cut=line_dedup.cut: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or cut(frame))
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute_lines(rows)
+    assert got == {doc: want.get(doc, []) for doc, _ in rows} and 0 < len(want) < len(rows)
+    joins = [x for plan in plans for x in plan.splitlines() if "Join LeftSemi" in x]
+    assert len(joins) >= 3 and not any("lambda" in x for x in joins)  # a function in a join's condition is interpreted for each pair
+
+
+def test_sizes_that_match_share_a_class(spark):
+    for t in (0.5, 0.8, 0.95, 1.0):
+        of = {r.n: r.c for r in spark.range(1, 700).selectExpr("int(id) n").select("n", line_dedup.size_classes(F.col("n"), t).alias("c")).collect()}
+        assert all(of[m][0] in of[n] for m in of for n in range(1, m + 1) if n >= t * m - 1e-9)
+        assert all(len(c) <= 2 for c in of.values()) and not set(of[10]) & set(of[600])
+
+
 def test_places_where_no_piece_begins_so_are_done():
     model = pieces.Pieces(tokenizer_path("piece_bpe_32k.model"))
     assert sorted(model.tables) == list(range(1, model.longest + 1))

@@ -7,8 +7,8 @@ every bit in which they differ stands for a token that only one of the sets has.
 
 Scale: equal sets are folded into their first line before anything is joined, with a partial aggregate. Rarity is read from a table of
 ``BUCKETS`` summed counts, of fixed size whatever the text, so no join back to all tokens is needed; any order gives exact results, and a good
-one only fewer candidates. Prefixes are exchanged once and joined with themselves by a semi-join: a line stops at the first one that passes the
-filters, so of a group of thousands of alike lines each is a row a token at most, and no table of pairs is made. The lines that pass are fetched
+one only fewer candidates. Prefixes are exchanged once and joined with themselves by a semi-join on token and size class (a line is in the class
+of its size, and in the next if it can match a line there): a line stops at the first one that passes the filters, so of a group of thousands of alike lines each is a row a token at most, and no table of pairs is made. The lines that pass are fetched
 whole and tried against one candidate each, twice; those that match neither go through a last semi-join whose condition compares the whole sets.
 Lists of lines and texts are joined by sorting, whatever their size, so that a plan that is right for some lines is the plan for all. Tables
 that nothing reads any more are dropped.
@@ -16,6 +16,7 @@ that nothing reads any more are dropped.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,7 @@ def plain(text: Column) -> Column:
     lower = out = F.lower(text)
     for blank in BLANKS[1:]:
         out = F.replace(out, F.lit(blank), F.lit(" "))
-    return F.when(text.rlike(r"[\t\x0B\f\r]"), out).otherwise(lower)
+    return F.when(reduce(Column.__or__, (text.contains(blank) for blank in BLANKS[1:])), out).otherwise(lower)
 
 
 def hashed(tokens: Column) -> Column:
@@ -49,15 +50,15 @@ def hashed(tokens: Column) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> bytes:
-    """One character, A to Z and on, for each bucket of token hashes: the power of two of its count of tokens in ``text``. Counts up to twice
+    """One character, A to Z and on, for each bucket of token hashes: its count of tokens in ``text``, in quarter powers of two. Counts up to twice
     the median are all A, since there a bucket's count says nothing of the one token. At most half of the buckets are collected."""
     one_line = F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" "))
     words = docs.select(F.explode(F.split(one_line, " ")).alias("t")).where("t <> ''")
     counts = cut(words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")))
     noise = 2 * (counts.agg(F.median("n")).first()[0] or 0)
     table = bytearray(b"A" * BUCKETS)
-    for b, power in counts.where(F.col("n") > noise).select("b", F.length(F.bin("n"))).collect():
-        table[b] = 64 + min(31, 1 + power)
+    for b, quarters in counts.where(F.col("n") > noise).select("b", F.floor(4 * F.log2(F.col("n") / noise))).collect():
+        table[b] = 66 + min(60, quarters)
     drop(counts)
     return bytes(table)
 
@@ -67,47 +68,62 @@ def by_rarity(hashes: Column, table: bytes) -> Column:
     ranks = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # a constant to Spark
 
     def ranked(x: Column) -> Column:
-        rank = F.coalesce(F.get(ranks, x.bitwiseAND(F.lit(BUCKETS - 1))).cast("bigint"), F.lit(0).cast("bigint"))
+        rank = F.coalesce(ranks[x.bitwiseAND(F.lit(BUCKETS - 1))].cast("bigint"), F.lit(0).cast("bigint"))
         return F.shiftleft(rank, 56).bitwiseOR(x)
 
     return F.sort_array(F.transform(hashes, ranked))
 
 
-#: Parts the hashes in two halves.
-MIDDLE = 1 << 55
-
-
 def parity(hashes: Column) -> Column:
     """A word: in each bit, whether the number of hashes that fall there is odd."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
     return F.reduce(hashes, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
 
+def parted(sets: DataFrame, hashes: str, n: int, name: str) -> DataFrame:
+    """sets with a column of arrays: the hashes in n equal ranges. They are put in order with the ranges' ends among them, a column each step, so
+    that each is computed once; arrays that can't hold nulls are sorted as plain numbers."""
+    ends = [F.lit((HASH + 1) // n * k).cast("bigint") for k in range(1, n)]
+    out = sets.withColumn("order", F.sort_array(F.concat(hashes, F.array(*ends))))
+    out = out.withColumn("places", F.array(F.lit(0), *(F.array_position("order", x).cast("int") for x in ends), F.size("order") + 1))
+    place = lambda k: F.get("places", F.lit(k))
+    return out.withColumn(name, F.array(*(F.slice("order", place(k) + 1, place(k + 1) - place(k) - 1) for k in range(n)))).drop("order", "places")
+
+
 def needed(n: Column, m: Column, t: float) -> Column:
     """The least number of shared tokens of sets of n and m with similarity t."""
     return F.ceil((n + m) * t / (1 + t) - 1e-9)
 
 
-def may_match(a: str, b: str, t: float) -> Column:
+#: Words of parities of all sets, and of those that may match another, for which two of a large set tell too little.
+COARSE = ["map1", "map2"]
+FINE = [f"fine{k}" for k in range(8)]
+
+
+def may_match(a: str, b: str, t: float, words: list[str] = COARSE) -> Column:
     """Length, positional and parity filters for the sets whose columns begin with a and b: n holds the size, pos the place of the shared token."""
     n, m = (F.col(f"{x}n") for x in (a, b))
     p, q = (F.col(f"{x}pos") for x in (a, b))
     least = needed(n, m, t)
-    differ = F.bit_count(F.col(f"{a}map1").bitwiseXOR(F.col(f"{b}map1"))) + F.bit_count(F.col(f"{a}map2").bitwiseXOR(F.col(f"{b}map2")))
-    return (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (F.least(n - p, m - q) >= least) & (differ <= n + m - 2 * least)
-
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in words))
+    # what follows from the last of the others, and tells most pairs apart, comes first
+    soon = differ <= (n + m) * ((1 - t) / (1 + t)) + 1e-6
+    return soon & (F.least(n, m) >= F.greatest(n, m) * t - 1e-9) & (F.least(n - p, m - q) >= least) & (differ <= n + m - 2 * least)
 
-def fine_parity(hashes: Column) -> Column:
-    """16 words of parities of a set that is too large for two to tell much, else null."""
-    part = lambda w: parity(F.filter(hashes, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(15)) == w))
-    return F.when(F.size(hashes) > 64, F.transform(F.sequence(F.lit(0), F.lit(15)), part))
 
-
-def may_match_finely(a: str, b: str, t: float) -> Column:
-    """The parity filter for the words of ``fine_parity``, where both sets have them."""
-    n, m = (F.col(f"{x}n") for x in (a, b))
-    differ = F.zip_with(f"{a}fine", f"{b}fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.coalesce(F.reduce(differ, F.lit(0), lambda total, x: total + x) <= n + m - 2 * needed(n, m, t), F.lit(True))
+def prefixed(sets: DataFrame, table: bytes, t: float, fine: bool = False) -> DataFrame:
+    """doc, line, set, n, the words of ``COARSE``, those of ``FINE`` if asked for, key (a hash of the set) and prefix of sets (doc, line, set)."""
+    n = F.col("n")
+    out = parted(sets.withColumn("n", F.size("set")), "set", 2, "halves")
+    out = (parted(out, "set", len(FINE), "eighths") if fine else out).withColumn("s", by_rarity(F.col("set"), table))
+    # of a set that only an equal one can match nothing is joined
+    alone = (F.floor(n / t + 1e-9) == n) & (F.ceil(n * t - 1e-9) == n)
+    prefix = F.slice("s", 1, F.when(alone, 0).otherwise(n - F.ceil(n * t - 1e-9) + 1).cast("int"))
+    # a token is told by 32 bits of its hash: a chance meeting is one more candidate
+    prefix = F.transform(prefix, lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
+    words = [parity(F.get("halves", F.lit(k))).alias(w) for k, w in enumerate(COARSE)]
+    words += [parity(F.get("eighths", F.lit(k))).alias(w) for k, w in enumerate(FINE)] if fine else []
+    return out.select("doc", "line", "set", "n", *words, F.xxhash64("s").alias("key"), prefix.alias("prefix"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -119,9 +135,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sets_of`` as a table of its own; only texts that may hold a line of wanted are shuffled."""
+    """``sets_of`` where only texts that may hold a line of wanted are shuffled."""
     needed_docs = maybe_in(wanted.select(F.xxhash64("doc").alias("key")))
-    return cut(sets_of(docs.where(needed_docs(F.xxhash64("doc"))), wanted))
+    return sets_of(docs.where(needed_docs(F.xxhash64("doc"))), wanted)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -131,9 +147,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return cut(x.where(similar("x", "y", t)).select("doc", "line").distinct())
 
 
-def postings(sets: DataFrame, *more: str) -> DataFrame:
-    """A row per token of the prefix: doc, line, np, map1, map2, further columns, pos, tok; in this order a self-join's sides have like plans."""
-    return sets.select("doc", "line", "n", "map1", "map2", *more, F.posexplode("prefix").alias("pos", "tok"))
+def size_classes(n: Column, t: float) -> Column:
+    """The class of a set's size and that of the largest size it can match: of two sets that match, the smaller is in the larger one's class too.
+    A class is wider than what sizes of a match can differ by, so these are one class or two that follow each other."""
+    width = math.log(max(3, 2 / t))
+    kind = lambda x: F.floor(F.log(x) / width).cast("int")
+    return F.array_distinct(F.array(kind(n), kind(F.floor(n / t + 1e-9))))
+
+
+def postings(sets: DataFrame, t: float, *more: str) -> DataFrame:
+    """A row per size class and token of the prefix: doc, line, n, further columns, pos, tok (of both); in this order a self-join's sides have like
+    plans. Numbers have a value where a table's schema can't say so, and a join's condition then asks for none."""
+    known = [F.coalesce(c, F.lit(0).cast(kind)).alias(c) if kind in ("int", "bigint") else c for c, kind in sets.select("doc", "line", "n", *more).dtypes]
+    rows = sets.select(*known, "prefix", F.explode(size_classes(F.col("n"), t)).alias("class"))
+    rows = rows.select("doc", "line", "n", *more, "class", F.posexplode("prefix").alias("pos", "tok"))
+    return rows.select("doc", "line", "n", *more, "pos", F.hash("class", "tok").alias("tok"))
 
 
 def meet(rows: DataFrame, others: DataFrame, condition: Column) -> DataFrame:
@@ -161,35 +189,25 @@ def standing_lines(docs: DataFrame, threshold: float) -> DataFrame:
     table = rarity_table(known)
 
     lines = known.select("doc", F.posexplode(F.split(plain(c("text")), "\n")).alias("line", "one")).where(F.btrim("one") != "")
-    lines = lines.select("doc", "line", hashed(F.split("one", " ")).alias("h"))
-    # of hashes in order, those before and behind the middle: a column each, so that each is computed once
-    lines = lines.select("*", F.size("h").alias("n"), F.sort_array(F.array_append("h", F.lit(MIDDLE))).alias("order"))
-    lines = lines.select("*", F.array_position("order", F.lit(MIDDLE)).cast("int").alias("at"))
-    lines = lines.select("doc", "line", "n", by_rarity(c("h"), table).alias("s"), F.slice("order", F.lit(1), c("at") - 1).alias("low"), F.slice("order", c("at") + 1, c("n") + 1 - c("at")).alias("high"))
-    # of a set that only an equal one can match nothing is joined
-    alone = (F.floor(c("n") / t + 1e-9) == c("n")) & (F.ceil(c("n") * t - 1e-9) == c("n"))
-    prefix = F.slice("s", 1, F.when(alone, 0).otherwise(c("n") - F.ceil(c("n") * t - 1e-9) + 1).cast("int"))
-    # a token is told by 32 bits of its hash: a chance meeting is one more candidate
-    prefix = F.transform(prefix, lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
-    first = F.struct("doc", "line", "n", parity(c("low")).alias("map1"), parity(c("high")).alias("map2"), prefix.alias("prefix"))
-    keyed = lines.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), first.alias("r"))
-    sets = cut(keyed.groupBy("k1", "k2").agg(F.min("r").alias("r")).select("r.*"))
+    lines = prefixed(lines.select("doc", "line", hashed(F.split("one", " ")).alias("set")), table, t)
+    first = F.struct("doc", "line", "n", *COARSE, "prefix")
+    same = ["key", *COARSE]  # of equal sets; others have one of three words of 64 bits that differs
+    sets = cut(lines.select(*same, first.alias("r")).groupBy(*same).agg(F.min("r").alias("r")).select("r.*"))
 
     # the lines that may match any other; both sides of the join read one exchange
-    posts = postings(sets)
-    alike = cut(meet(posts, posts, (earlier("f.", "l.") | earlier("l.", "f.")) & may_match("l.", "f.", t)))
-    whole = whole_sets(known, alike)
-    near = cut(sets.join(whole.hint("merge"), ["doc", "line"]))
-    drop(alike, whole)
+    posts = postings(sets, t, *COARSE)
+    alike = cut(meet(posts, posts, may_match("l.", "f.", t) & (earlier("f.", "l.") | earlier("l.", "f."))))
+    near = cut(prefixed(whole_sets(known, alike), table, t, fine=True).drop("key"))
+    drop(alike)
 
     # each open line against one: of those that were chosen for none before, the first for most of its tokens
     ends = ["fdoc", "fline", "doc", "line"]
-    names = ["doc", "line", "n", "map1", "map2", "pos"]
+    names = ["doc", "line", "n", *COARSE, "pos"]
     nearest = F.max_by(F.struct("fdoc", "fline"), F.struct("k", F.bitwise_not("fdoc"), F.bitwise_not("fline"))).alias("f")
     lost, tried, still, others = [], [], near, near
     for _ in range(ROUNDS):
-        firsts = postings(others).groupBy(c("tok").alias("ftok")).agg(F.min(F.struct(*names)).alias("f")).select("ftok", *(c(f"f.{x}").alias(f"f{x}") for x in names))
-        met = postings(still).join(firsts.hint("merge"), (c("tok") == c("ftok")) & earlier("f", "") & may_match("", "f", t))
+        firsts = postings(others, t, *COARSE).groupBy(c("tok").alias("ftok")).agg(F.min(F.struct(*names)).alias("f")).select("ftok", *(c(f"f.{x}").alias(f"f{x}") for x in names))
+        met = postings(still, t, *COARSE).join(firsts.hint("merge"), (c("tok") == c("ftok")) & earlier("f", "") & may_match("", "f", t))
         met = met.groupBy(*ends).agg(F.count("*").alias("k")).groupBy("doc", "line").agg(nearest)
         tried.append(cut(met.select("f.fdoc", "f.fline", "doc", "line")))
         lost.append(confirmed(tried[-1], near, t))
@@ -198,22 +216,23 @@ def standing_lines(docs: DataFrame, threshold: float) -> DataFrame:
     drop(*tried)
 
     # what is open still against all earlier ones; whole sets go beside the tokens only of lines that may match so
-    left = still.select("doc", "line", F.lit(True).alias("open"))
-    rows = cut(near.join(left.hint("merge"), ["doc", "line"], "left").withColumn("fine", fine_parity(c("set"))))
-    posts = postings(rows, "open", "fine")
+    left = still.select("doc", "line", F.lit(True).alias("open")).hint("merge")
+    marked = lambda rows: rows.join(left, ["doc", "line"], "left").withColumn("open", c("open").isNotNull())
+    posts = postings(marked(near.drop("set")), t, "open", *FINE)
     later = F.when(earlier("f.", "l."), c("l.open")).when(earlier("l.", "f."), c("f.open"))
-    alike = cut(meet(posts, posts, later & may_match("l.", "f.", t) & may_match_finely("l.", "f.", t)))
-    posts = postings(rows.join(alike.hint("merge"), ["doc", "line"]), "open", "set")
-    lost.append(cut(meet(posts.where("open"), posts, earlier("f.", "l.") & may_match("l.", "f.", t) & similar("l.set", "f.set", t))))
-    drop(near, rows, alike)
+    alike = cut(meet(posts, posts, may_match("l.", "f.", t, FINE) & later))
+    posts = postings(marked(near.join(alike.hint("merge"), ["doc", "line"])), t, "open", *COARSE, "set")
+    lost.append(cut(meet(posts.where("open"), posts, may_match("l.", "f.", t) & earlier("f.", "l.") & similar("l.set", "f.set", t))))
+    drop(near, alike)
 
-    gone = reduce(DataFrame.unionAll, lost)
-    return sets.select("doc", "line").join(gone.hint("merge"), ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_set("line").alias("kept"))
+    gone = reduce(DataFrame.unionAll, lost).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    first = sets.groupBy("doc").agg(F.collect_set("line").alias("first")).join(gone.hint("merge"), "doc", "left")
+    return first.select("doc", F.array_except("first", F.coalesce("gone", F.array().cast("array<int>"))).alias("kept")).where(F.size("kept") > 0)
 
 
 def numbers(lines: Column, full: bool) -> Column:
     """The numbers of the lines that hold a token, or of those that don't."""
-    blank = lambda i: F.btrim(F.get(lines, i), F.lit(BLANKS)) == ""
+    blank = lambda i: F.ltrim(F.get(lines, i), F.lit(BLANKS)) == ""
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~blank(i) if full else blank(i))
 
 
