@@ -119,10 +119,17 @@ s AS (SELECT frame_no, lag, round(-CASE WHEN dot > 0 THEN dot * dot ELSE 0 END /
 SELECT frame_no, rank, lag, round(-s, 6) AS score FROM r WHERE rank < 2"""
 
 
+def sum_in_order(order: str, value: str) -> Column:
+    """The sum of a few rows of a group, added in an order that doesn't hang on how they are dealt out; null if all are."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).alias("v"))))
+    return F.reduce(items, F.lit(None).cast("double"), lambda a, x: F.coalesce(a + x["v"], x["v"], a))
+
+
 def seek_table(spark: SparkSession, sf_dir: str, parts: int = 10) -> DataFrame:
     """A table of contents of each channel: for every tenth part of its blocks, 256ths of its bytes before that block. A block of up
-    to 8 samples takes 20 bytes and one more for each whole hundred of its sum."""
-    b = channels(spark, sf_dir).groupBy("channel", F.floor(F.col("i") / 8).alias("block")).agg((20 + F.floor(F.sum("x") / 100)).alias("bytes"))
+    to 8 samples takes 20 bytes and one more for each whole hundred of its sum, which is added up in order of time: another order can end on the other side
+    of a hundred."""
+    b = channels(spark, sf_dir).groupBy("channel", F.floor(F.col("i") / 8).alias("block")).agg((20 + F.floor(sum_in_order("i", "x") / 100)).alias("bytes"))
     w = Window.partitionBy("channel")
     b = b.withColumns({"before": F.sum("bytes").over(w.orderBy("block")) - F.col("bytes"), "all": F.sum("bytes").over(w), "n": F.count("*").over(w)})
     at = b.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where(F.floor(F.col("p") * F.col("n") / parts) == F.col("block"))
