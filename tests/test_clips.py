@@ -53,3 +53,11 @@ def test_chunks_are_those_of_the_reader(spark, bits, is_float):
     rate, channels, pcm = parse_wav(data)
     assert (c.rate, c.channels, c.bits, c.bytes) == (rate, channels, bits, len(pcm) * bits // 8)
     assert data[c.at - 8 : c.at - 4] == b"data"
+
+
+@pytest.mark.parametrize("content", [ADTS * 2, b"\xff\xfb\x90\x00" + b"\0" * 12, b"RIFF" + b"\0" * 16, b"ID3" + b"\0" * 17, b"fLaC" + b"\xff" * 40, VORBIS])
+def test_what_is_named_as_headerless_is(spark, content):
+    """Samples that look like a header are samples."""
+    r = probe(spark.createDataFrame([("a.pcm", content)], "path string, content binary")).first()
+    n = len(content) // 4
+    assert tuple(r)[2:] == ("raw", 44100, 2, n, pytest.approx(n / 44100))

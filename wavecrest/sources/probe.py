@@ -96,12 +96,11 @@ def last_position(content: Column) -> Column:
 
 def probe(files: DataFrame, raw: tuple[int, int, int] = (44100, 2, 16), path: str = "path", content: str = "content") -> DataFrame:
     """files with format, rate, channels, frames (samples of a channel) and seconds; null for one that is none of the formats or breaks off before they can be
-    told. Bytes are asked first; only what they don't tell and what is named as headerless counts as such, of rate, channels and bits ``raw``. Coded frames
-    count with all their samples; positions of an Opus stream less what precedes its start. Columns of these names are replaced."""
+    told. What is named as headerless counts as such, of rate, channels and bits ``raw``, since its samples may look like a header; any other name is passed over
+    for what the bytes tell. Coded frames count with all their samples; positions of an Opus stream less what precedes its start. Columns of these names are replaced."""
     kept = [c for c in files.columns if c not in ("format", "rate", "channels", "frames", "seconds")]
     d, c, kind = files.select(*kept), F.col(content), F.col("__kind")
-    plain = F.when(by_extension(F.col(path)) == "raw", "raw")
-    d = d.withColumns({"__kind": F.when(starts(c, b"RIFF"), "wav").otherwise(F.coalesce(behind_tag(c), plain)), "__first": tag_length(c), "__head": 27 + byte(c, 26)})
+    d = d.withColumns({"__kind": F.when(by_extension(F.col(path)) == "raw", "raw").when(starts(c, b"RIFF"), "wav").otherwise(behind_tag(c)), "__first": tag_length(c), "__head": 27 + byte(c, 26)})
     at, head = F.col("__first"), F.col("__head")  # of an Ogg file the first packet
     d = d.withColumns({
         "__wav": F.when(kind == "wav", wav_chunks(c)),
